@@ -258,3 +258,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, text: str
     rooted = least.join(roots, least["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("bits", "component_id")
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, most: int = 2, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` but those in the group of a smaller doc_id; all columns stay.
+
+    Of several rows of one doc_id the one with the least text stays.  Rows without doc_id can't be named, so they stay.
+    """
+    groups = near_duplicates(docs, shingle, most, text).where("doc_id is not null")
+    late = groups.where("doc_id != component_id").select("doc_id").distinct()
+    left = docs.join(late, "doc_id", "left_anti").select(*docs.columns)
+    n, ids = groups.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == ids:
+        return left
+    least = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(text, *[c for c in docs.columns if c not in (text, "doc_id")])).alias("r"))
+    single = least.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    return single.union(left.where("doc_id is null"))

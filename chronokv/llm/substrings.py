@@ -13,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,55 +120,99 @@ def buckets_for(docs: DataFrame, text: str = "text") -> int:
     return 1 << max(0, (int(total) // 6 // BUCKET_WINDOWS).bit_length())
 
 
-def remove_repeats(docs: DataFrame, k: int = WINDOW, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Each document's words without those that a repeated window covers.
-
-    Columns: doc_id, n_words, n_removed, intervals (array of [first word, last word + 1]), kept_sha256,
-    and kept_text (words joined by one space) if ``keep_text``.  A window is ``k`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one
+def _answered(docs: DataFrame, k: int, text: str) -> DataFrame:
+    """``docs`` with ``_hashes``, the lists of their windows that are to go."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    late = repeated(own.where("doc_id is not null and text is not null"), k, buckets_for(own))
+    answers = late.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("hashes").alias("_hashes"))
+    return docs.join(answers, docs["doc_id"] == answers["_id"], "left").drop("_id")
+
+
+def _gone(batch: pa.RecordBatch, text: str, k: int) -> tuple[Words, np.ndarray]:
+    """The words of a slice of answered documents, and which of them a repeated window covers."""
+    w, h, at = _hashes(column(batch, text), k)
+    lists = [b"".join(x) if x else b"" for x in column(batch, "_hashes").to_pylist()]
+    size = np.array([len(x) // 8 for x in lists], np.int64)
+    salt = np.arange(w.docs, dtype=np.int64).view(U64) * U64(0x9E3779B97F4A7C15)
+    wanted = np.sort(mix(np.frombuffer(b"".join(lists), U64) + np.repeat(salt, size)))
+    mine = mix(h + salt[w.doc[at]])
+    if len(wanted):
+        found = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+    else:
+        found = np.zeros(len(mine), bool)
+    steps = np.zeros(len(w.start) + 1, np.int64)
+    np.add.at(steps, at[found], 1)
+    np.add.at(steps, at[found] + k, -1)
+    return w, np.cumsum(steps[:-1]) > 0
+
+
+def remove_repeats(docs: DataFrame, k: int = WINDOW, text: str = "text") -> DataFrame:
+    """Each document's removal intervals, and a digest of the words that they leave.
+
+    Columns: doc_id, n_words, n_removed, intervals (array of [first word, last word + 1]), kept_sha256 (of the kept
+    words, joined by one space).  A window is ``k`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one
     document; it is removed if its words also start in a document of a smaller doc_id.  Windows
     are judged on the input.  A null text has no words; a document without doc_id has no place in
     the order: it is kept whole and takes nothing from others.  Rows of one doc_id don't
-    take from each other.  An empty table gives no rows.
+    take from each other.  An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    in_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    late = repeated(own.where("doc_id is not null and text is not null"), k, buckets_for(own))
-    answers = late.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    joined = own.join(answers, "doc_id", "left").select("doc_id", "text", "hashes")
+    in_batches(docs.sparkSession)
+    joined = _answered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), k, "text")
 
     def strip(batches):
         for b in pieces(batches):
-            w, h, at = _hashes(column(b, "text"), k)
-            col = column(b, "hashes")
-            lists = [b"".join(x) if x else b"" for x in col.to_pylist()]
-            size = np.array([len(x) // 8 for x in lists], np.int64)
-            salt = np.arange(w.docs, dtype=np.int64).view(U64) * U64(0x9E3779B97F4A7C15)
-            wanted = np.sort(mix(np.frombuffer(b"".join(lists), U64) + np.repeat(salt, size)))
-            mine = mix(h + salt[w.doc[at]])
-            if len(wanted):
-                found = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
-            else:
-                found = np.zeros(len(mine), bool)
-            steps = np.zeros(len(w.start) + 1, np.int64)
-            np.add.at(steps, at[found], 1)
-            np.add.at(steps, at[found] + k, -1)
-            gone = np.cumsum(steps[:-1]) > 0
+            w, gone = _gone(b, "text", k)
             removed = np.bincount(w.doc[gone], minlength=w.docs)
-            # Intervals: runs of removed words of one document.
-            turn = np.flatnonzero(gone & ~(np.append(False, gone[:-1]) & np.append(False, w.doc[1:] == w.doc[:-1])))[: len(gone)]
-            stop = np.flatnonzero(gone & ~(np.append(gone[1:], False) & np.append(w.doc[1:] == w.doc[:-1], False))) + 1
-            base = w.first[w.doc[turn]]
-            spans = pa.FixedSizeListArray.from_arrays(pa.array(np.stack([turn - base, stop - base], 1).ravel()), 2).cast(pa.list_(pa.int64()))
-            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(w.doc[turn], minlength=w.docs))]).astype(np.int32)), spans)
+            same = w.doc[1:] == w.doc[:-1]
+            first = np.flatnonzero(gone & ~(np.append(False, gone[:-1] & same) if len(gone) else gone))
+            stop = np.flatnonzero(gone & ~(np.append(gone[1:] & same, False) if len(gone) else gone)) + 1
+            base = w.first[w.doc[first]]
+            spans = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(first) + 1, 2, dtype=np.int32)), pa.array(np.stack([first - base, stop - base], 1).ravel()))
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(w.doc[first], minlength=w.docs))]).astype(np.int32)), spans)
             kept = _joined(w, ~gone)
-            cols = [column(b, "doc_id"), pa.array(w.n), pa.array(removed.astype(np.int64)), spans, pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "intervals", "kept_sha256"]
-            if keep_text:
-                cols, names = [*cols, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_text"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(
+                [column(b, "doc_id"), pa.array(w.n), pa.array(removed.astype(np.int64)), spans, pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
+                ["doc_id", "n_words", "n_removed", "intervals", "kept_sha256"],
+            )
 
-    return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, intervals array<array<long>>, kept_sha256 string" + ", kept_text string" * keep_text)
+    return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, intervals array<array<long>>, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, k: int = WINDOW, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with repeated windows cut out of their texts; all columns stay, in order.
+
+    A cut goes from a removed word to the next kept one; what is left keeps its white space, so a text without repeats
+    stays as it is.  A column ``chars``, where there is one, counts the new text's code points for rows with a text.  Rules and odd cases are
+    those of :func:`remove_repeats`.
+    """
+    in_batches(docs.sparkSession)
+    joined = _answered(docs, k, text)
+    names = docs.columns
+
+    def strip(batches):
+        for b in pieces(batches, text):
+            w, gone = _gone(b, text, k)
+            old = column(b, text)
+            new = old
+            if gone.any():
+                # Everything from a removed word to the next word, or to the text's end, goes.
+                after = np.append(w.start[1:], len(w.raw))
+                after = np.minimum(after, w.bounds[w.doc + 1])
+                mark = np.zeros(len(w.raw) + 1, np.int64)
+                np.add.at(mark, w.start[gone], 1)
+                np.add.at(mark, after[gone], -1)
+                stays = np.cumsum(mark[:-1]) == 0
+                total = np.concatenate([[0], np.cumsum(stays)])
+                flat, edge = w.raw[stays].tobytes(), total[w.bounds]
+                touched = np.bincount(w.doc[gone], minlength=w.docs) > 0
+                cut = [flat[s:e].decode().rstrip(" \t\n\r\x0b\x0c") if t else flat[s:e].decode() for s, e, t in zip(edge[:-1].tolist(), edge[1:].tolist(), touched.tolist(), strict=True)]
+                new = pa.array([c if there else None for there, c in zip(old.is_valid().to_pylist(), cut, strict=True)], old.type)
+            cols = {n: column(b, n) for n in names} | {text: new}
+            if chars in cols and pa.types.is_integer(cols[chars].type):
+                cols[chars] = pc.if_else(old.is_valid(), pc.utf8_length(new).cast(cols[chars].type), cols[chars])
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
+
+    return joined.mapInArrow(strip, docs.schema)
 
 
 def _joined(w: Words, kept: np.ndarray) -> list[bytes]:
