@@ -169,6 +169,9 @@ def near_links(codes: DataFrame, most: int = 2, entry_rows: int = ENTRY_ROWS) ->
     is dealt anew: its members agree in the block, so near ones also agree in one of ``most`` + 1 parts of
     the other bits.  ``codes`` is read twice: give a written table of distinct, non-null bits.
     """
+    if most == 0:  # distinct codes all differ
+        return codes.sparkSession.createDataFrame([], "a long, b long")
+
     def part(lo: int, n: int):
         return F.shiftrightunsigned("bits", lo).bitwiseAND(F.lit((1 << n) - 1))
 
