@@ -22,6 +22,8 @@ from .common import U64, Words, column, in_batches, mix, pieces, windows
 WINDOW = 13
 #: Windows that a bucket should get; a task holds about 50 bytes for each of one bucket's.
 BUCKET_WINDOWS = 3 << 20
+#: At least so many buckets, that small tables too are spread over tasks.
+LEAST_BUCKETS = 64
 #: Bytes of text to a slice.
 SLICE = 4 << 20
 
@@ -117,7 +119,7 @@ def _by_bucket(batches):
 def buckets_for(docs: DataFrame, text: str = "text") -> int:
     """A power of two of buckets for all windows of the table, from its bytes."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return 1 << max(0, (int(total) // 6 // BUCKET_WINDOWS).bit_length())
+    return max(LEAST_BUCKETS, 1 << (int(total) // 6 // BUCKET_WINDOWS).bit_length())
 
 
 def _answered(docs: DataFrame, k: int, text: str) -> DataFrame:
