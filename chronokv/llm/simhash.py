@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, column, in_batches, pieces, written
+from .common import U64, Words, column, in_batches, mix, pieces, windows, written
 from .links import components
 
 BITS = 64
@@ -263,13 +263,150 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, text: str
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, most: int = 2, text: str = "text") -> DataFrame:
+#: Sampled fingerprints: shingles to a group on average, and groups of a text that count.
+GROUP_SHINGLES, GROUPS = 3, 16
+#: Two sets of similarity s differ in size by at most this in log2, for s of 0.8: each side allows for half.
+_SIDE = 0.17
+
+
+def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words, and the hashes and texts of each text's distinct shingles, in order of both; A-Z are folded.
+
+    A text of fewer words is one shingle; one without words has a shingle of its own kind.
+    """
+    w = Words(text)
+    w.raw = _UPPER[w.raw]
+    own = w.spans(w.sums(), w.start, w.end)
+    h, at = windows(own, w.doc, k)
+    doc = w.doc[at]
+    few = np.flatnonzero(w.n < k)
+    if len(few):
+        ends = w.first[few] + w.n[few] - 1
+        some = w.n[few] > 0
+        whole = np.full(len(few), 0x5EED, U64)
+        whole[some] = w.spans(w.sums(), w.start[w.first[few][some]], w.end[ends[some]])
+        h, doc = np.concatenate([h, whole]), np.concatenate([doc, few])
+    by = np.lexsort((h, doc))
+    h, doc = h[by], doc[by]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
+    return w, h[new], doc[new]
+
+
+def sampled(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
+    """doc_id, n (distinct shingles), set_a and set_b (equal for equal sets) and ``prints``: SimHashes of samples of the set.
+
+    A set is dealt by hash into a power of two of groups of a few shingles each; the first groups' SimHashes
+    are the prints, each with its group and their number mixed in.  Sets that differ in a fifth of
+    their shingles leave about half of the groups untouched, whose prints are equal.  Sizes near a power of two are
+    dealt both ways.
+    """
+    in_batches(docs.sparkSession)
+    d = docs.select("doc_id", docs[text].alias("text"))
+    key = d.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in pieces(batches):
+            w, h, doc = _sets(column(b, "text"), shingle)
+            n = np.bincount(doc, minlength=w.docs)
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            set_a, set_b = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ U64(0xA5A5A5A5)), first)
+            size = np.log2(n / GROUP_SHINGLES)
+            low, high = (np.maximum(np.floor(size + side), 0).astype(np.int64) for side in (-_SIDE, _SIDE))
+            place = mix(h + U64(0x51ED))
+            found_doc, found = [], []
+            for level, use in ((low, np.ones(w.docs, bool)), (high, high != low)):
+                group = (place & ((U64(1) << level[doc].astype(U64)) - U64(1))).astype(np.int64)
+                take = (group < GROUPS) & use[doc]
+                slot = doc[take] * GROUPS + group[take]
+                order = np.argsort(slot, kind="stable")
+                codes = majority(h[take][order], slot[order], w.docs * GROUPS)
+                have = np.bincount(slot, minlength=w.docs * GROUPS)
+                good = np.flatnonzero((have > 1) | ((have == 1) & np.repeat(n < 8, GROUPS)))
+                found_doc.append(good // GROUPS)
+                found.append(mix(codes[good] ^ mix(((level[good // GROUPS] << 8) + good % GROUPS).astype(U64) + U64(0xC0DE))))
+            at, codes = np.concatenate(found_doc), np.concatenate(found)
+            by = np.argsort(at, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=w.docs))]).astype(np.int32)
+            prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[by].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), prints], ["doc_id", "n", "set_a", "set_b", "prints"])
+
+    return d.mapInArrow(run, f"doc_id {key}, n long, set_a long, set_b long, prints array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, text: str = "text") -> DataFrame:
+    """The pairs (``a``, ``b``: doc_ids) whose shingle sets have at least this Jaccard similarity, exactly.
+
+    Only documents that are in a pair have their sets built; a pair brings two sets together, whatever the other pairs of its documents.
+    """
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text")).join(named, "doc_id", "left_semi")
+
+    def build(batches):
+        for b in pieces(batches):
+            w, h, doc = _sets(column(b, "text"), shingle)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=w.docs))]) * 8
+            packed = pa.Array.from_buffers(pa.binary(), w.docs, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), packed], ["doc_id", "shingles"])
+
+    # Rows of one doc_id with several texts: one of them, always the same, stands for all.
+    sets = written(d.mapInArrow(build, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def check(batches):
+        for b in batches:
+            x, y = column(b, "x").to_pylist(), column(b, "y").to_pylist()
+            good = []
+            for s, t in zip(x, y, strict=True):
+                u, v = np.frombuffer(s, U64), np.frombuffer(t, U64)
+                every = np.sort(np.concatenate([u, v]), kind="stable")
+                common = int((every[1:] == every[:-1]).sum())
+                good.append(common >= similarity * (len(every) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2, text: str = "text") -> DataFrame:
+    """doc_id and group_id, the smallest doc_id of those that links of at least ``similarity`` connect; rows without doc_id are left out.
+
+    Candidates are fingerprints that the Gray-order index links at ``most`` bits, and documents with an equal sampled
+    print; within a print all are paired with the least document alone, so pairs are fewer than prints.  A pair
+    links if the exact Jaccard similarity of its shingle sets suffices.  Equal sets link without a comparison.
+    """
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text"))
+    rows = written(sampled(named, shingle), "samples")
+    sets = ["set_a", "set_b"]
+    classes = written(rows.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prints").alias("prints")), "classes")
+    spread = classes.select("rep", "n", F.explode(F.array_distinct("prints")).alias("p"))
+    least = spread.groupBy("p").agg(F.min(F.struct("rep", "n")).alias("m"), F.count("*").alias("c")).where("c > 1").select("p", "m")
+    fits = F.least("n", F.col("m.n")) >= similarity * F.greatest("n", F.col("m.n")) - 1e-9
+    near = spread.join(least, "p").where((F.col("rep") != F.col("m.rep")) & fits).select(F.col("m.rep").alias("a"), F.col("rep").alias("b"))
+    if most:
+        prints = written(fingerprints(named, 3), "prints")
+        codes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "codes")
+        links = near_links(codes, most)
+        ends = links.join(codes.select(F.col("bits").alias("a"), F.col("least").alias("u")), "a").join(codes.select(F.col("bits").alias("b"), F.col("least").alias("v")), "b")
+        near = near.union(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+        # Of one fingerprint, other sets than the least document's are compared with it.
+        alike = prints.join(rows.select("doc_id", *sets), "doc_id").join(classes.select(*sets, "rep"), sets).groupBy("bits", "rep").agg(F.count("*").alias("_")).join(codes, "bits")
+        near = near.union(alike.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+    pairs = written(near.distinct(), "pairs")
+    roots = components(written(similar(pairs, named, shingle, similarity), "links"))
+    # Nodes are documents that stand for their sets, or for their fingerprints: carry roots over to every document of an equal set.
+    reps = rows.join(classes.select(*sets, "rep"), sets).select("doc_id", "rep")
+    every = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(reps.join(roots.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+    found = reps.join(every.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    return found.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of ``docs`` but those in the group of a smaller doc_id; all columns stay.
 
-    Of several rows of one doc_id the one with the least text stays.  Rows without doc_id can't be named, so they stay.
+    Groups are those of :func:`similar_groups`.  Of several rows of one doc_id the one with the least text stays.  Rows without doc_id can't be
+    named, so they stay.
     """
-    groups = near_duplicates(docs, shingle, most, text).where("doc_id is not null")
-    late = groups.where("doc_id != component_id").select("doc_id").distinct()
+    groups = written(similar_groups(docs, shingle, similarity, text=text), "groups")
+    late = groups.where("doc_id != group_id").select("doc_id").distinct()
     left = docs.join(late, "doc_id", "left_anti").select(*docs.columns)
     n, ids = groups.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if n == ids:

@@ -202,6 +202,48 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def shingles(t, k=5):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def similar_by_all_pairs(rows, similarity=0.8):
+    """doc_id -> the smallest doc_id that pairs of at least this Jaccard similarity lead to."""
+    root = {d: d for d, _ in rows}
+    find = lambda x: x if root[x] == x else find(root[x])
+    sets = [(d, shingles(t)) for d, t in rows]
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if len(x & y) >= similarity * len(x | y):
+            u, v = find(a), find(b)
+            root[max(u, v)] = min(u, v)
+    return {d: find(d) for d in root}
+
+
+def test_similar_groups(spark, docs, rows, empty):
+    ids = collections.Counter(r[0] for r in rows)
+    single = [(r[0], r[1]) for r in rows if r[0] is not None and ids[r[0]] == 1]
+    base = [f"w{i}" for i in range(80)]
+    edits = [(1000 + i, " ".join([*base[: i * 3], f"edit{i}", *base[i * 3 + 1 :]])) for i in range(12)]
+    edits += [(2000 + i, " ".join(base[: 40 + i])) for i in range(0, 40, 3)]
+    given = single + edits
+    frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
+    for most in (0, 2):
+        assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame, most=most).collect()} == similar_by_all_pairs(given)
+    assert simhash.similar_groups(empty).count() == 0
+
+
+def test_one_of_each(docs, rows, empty):
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns and simhash.one_of_each(empty).count() == 0
+    ids = [r.doc_id for r in left.collect()]
+    assert ids.count(None) == 2 and len(set(ids) - {None}) == len([i for i in ids if i is not None])
+    one = {}
+    for r in rows:
+        if r[0] is not None:
+            one[r[0]] = r[1]
+    assert set(ids) - {None} == {d for d, g in similar_by_all_pairs(list(one.items())).items() if d == g}
+
+
 @pytest.mark.parametrize("entry_rows", [20_000, 5])
 @pytest.mark.parametrize("most", [0, 2, 3])
 def test_links_reach_what_all_pairs_reach(spark, entry_rows, most):

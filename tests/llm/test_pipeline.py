@@ -11,7 +11,7 @@ import corpus_pipeline
 from chronokv.llm import cotrain, quality, registry
 from chronokv.llm.common import written
 
-from .test_operators import WORD, base_counts, fingerprint, groups, removals
+from .test_operators import WORD, base_counts, removals, similar_by_all_pairs
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no testdata")
@@ -32,9 +32,8 @@ def test_stages(spark):
             assert {r.doc_id for r in after.collect()} == kept
         elif name == "simhash near-dedup":
             left = {r.doc_id for r in after.collect()}
-            exact = groups([r.doc_id for r in rows], [fingerprint(r.text) for r in rows], 2)
-            assert left <= {r.doc_id for r, g in zip(rows, exact, strict=True) if r.doc_id == g}
-            assert_only_near_copies_went(rows, left)
+            want = {d for d, g in similar_by_all_pairs([(r.doc_id, r.text) for r in rows]).items() if d == g}
+            assert left == want
         elif name == "substring dedup":
             want = {r.doc_id: [x for i, x in enumerate(w) if i not in gone] for r, (w, gone) in zip(rows, removals([(r.doc_id, r.text) for r in rows]), strict=True)}
             assert {r.doc_id: WORD.findall(r.text) for r in after.collect()} == want
@@ -46,19 +45,6 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, str(SF)).count() == before.count()
 
 
-def shingles(text, k=5):
-    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
-
-
-def assert_only_near_copies_went(rows, left):
-    sets = {r.doc_id: shingles(r.text) for r in rows}
-    for gone in set(sets) - left:
-        best = max(len(sets[gone] & s) / len(sets[gone] | s) for d, s in sets.items() if d != gone)
-        code = fingerprint(next(r.text for r in rows if r.doc_id == gone))
-        assert best >= 0.8 or any((code ^ fingerprint(r.text)).bit_count() <= 2 for r in rows if r.doc_id != gone)
-
-
 def test_registry():
     numbers = collections.Counter(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES)
     assert numbers == {n: 1 for n in range(1, 11)}
