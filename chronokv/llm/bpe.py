@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,15 @@ from .common import column, in_batches, pieces
 #: White space of the normalizer's \s, and the rule by which its pre-tokenizer finds words.
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: Slots of the table of pairs, as a power of two.
+SLOT_BITS = 19
+#: Characters that str.split takes for white space and the normalizer doesn't.
+_ODD = re.compile("[\x1c-\x1f]")
 #: Bytes of text that share an index: the more, the fewer passes over the active ranks.
 INDEX_BYTES = 16 << 20
+#: Distinct words whose ids a worker keeps from one slice to the next.
+CACHED_WORDS = 600_000
 
 
 class WordBpe:
@@ -42,10 +49,12 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.known, self.ids, self.written = _Numbers(), [], []
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.token = [""] * self.size
         for t, i in chain(vocab.items(), self.special.items()):
             self.token[i] = t
+        self.number = list(map(str, range(self.size)))
         left, right, made = [], [], []
         for m in model["merges"]:
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -56,17 +65,33 @@ class WordBpe:
         key = self.left * self.size + self.right
         self.key_rank = np.argsort(key, kind="stable")
         self.keys = key[self.key_rank]
+        # A table of ranks by a hash of the pair; a slot that two pairs share sends its askers to a binary search.
+        slot = self._slot(key)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slots[slot] = np.arange(len(key))
+        self.slots[np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS) > 1)] = -2
+        self.pair = np.append(key, -1)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         char = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.inner = np.array([vocab[char[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[char[b] + self.suffix] for b in range(256)], np.int64)
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where the pair is never merged."""
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.key_rank[at], -1)
+        key = a.astype(np.int64) * self.size + b
+        rank = self.slots[self._slot(key)]
+        shared = np.flatnonzero(rank == -2)
+        rank[self.pair[rank] != key] = -1
+        if len(shared):
+            some = key[shared]
+            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+            rank[shared] = np.where(self.keys[at] == some, self.key_rank[at], -1)
+        return rank
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word, given as its bytes."""
@@ -79,11 +104,11 @@ class WordBpe:
         symbol = self.inner[raw]
         symbol[ends - 1] = self.last[raw[ends - 1]]
         # Position n stands for "beyond the word"; its symbol -1 belongs to no pair.
-        symbol = np.append(symbol, -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        symbol = np.append(symbol, -1).astype(np.int32)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[ends - size] = n
-        before, after = np.append(before, n), after
+        before = np.append(before, np.int32(n))
         after[n] = n
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -95,10 +120,12 @@ class WordBpe:
             at, rank = at[good], rank[good]
             if not len(at):
                 return
-            by = np.argsort(rank, kind="stable")
+            by = np.argsort(rank.astype(np.uint16) if len(self.made) <= 1 << 16 else rank, kind="stable")
             at, rank = at[by], rank[by]
-            edge = np.flatnonzero(np.diff(rank)) + 1
-            for r, part in zip(rank[np.concatenate([[0], edge])].tolist(), np.split(at, edge), strict=True):
+            first = np.flatnonzero(np.diff(rank, prepend=-1))
+            edge = [*first.tolist(), len(at)]
+            for i, r in enumerate(rank[first].tolist()):
+                part = at[edge[i] : edge[i + 1]]
                 if r in index:
                     index[r].append(part)
                 else:
@@ -109,12 +136,12 @@ class WordBpe:
         while active:
             r = heapq.heappop(active)
             held = index.pop(r)
-            at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            at = held[0] if len(held) == 1 else np.concatenate(held)
             a, b = self.left[r], self.right[r]
             nxt = after[at]
             at = at[(symbol[at] == a) & (symbol[nxt] == b)]
             if a == b and len(at) > 1:  # of a run of the same symbol, every other position from the left
-                at = np.sort(at)
+                at = np.unique(at)
                 joined = np.append(False, after[at[:-1]] == at[1:])
                 order = np.arange(len(at))
                 head = np.maximum.accumulate(np.where(joined, 0, order))
@@ -128,11 +155,7 @@ class WordBpe:
             symbol[gone] = -1
             before[beyond[beyond < n]] = at[beyond < n]
             prior = before[at]
-            if len(at) == 1:
-                near = [x for x in (int(prior[0]), int(at[0])) if x < n]
-                note(np.array(near))
-            else:
-                note(np.unique(np.concatenate([prior[prior < n], at])))
+            note(np.concatenate([prior[prior < n], at]))
         kept = np.flatnonzero(symbol[:n] >= 0)
         ids = symbol[kept]
         return np.split(ids, np.searchsorted(kept, ends[:-1]))
@@ -142,27 +165,34 @@ class WordBpe:
         def plain(t: str) -> list[str]:
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3")  # lower case is by character: no final sigma
-            return [u for u in _GAP.split(t.lower()) if u]
+            t = t.lower()
+            return [u for u in _GAP.split(t) if u] if _ODD.search(t) else t.split()
 
         if not self.special_at or "<|" not in text and not self.special_at.search(text):
             return plain(text)
         return [u for k, part in enumerate(self.special_at.split(text)) for u in ([part] if k % 2 else plain(part))]
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
-        """Each text as numbers of units, and the ids of every unit."""
-        number = _Numbers()
-        docs = [list(map(number.__getitem__, self.units(t))) for t in texts]
-        word_number = _Numbers()
+        """Each text as numbers of units, and the ids of every unit; only units not seen lately are encoded."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.ids, self.written = _Numbers(), [], []
+        docs = [list(map(self.known.__getitem__, self.units(t))) for t in texts]
+        words = _Numbers()
         made = []
-        for u in number:
-            if u in self.special:
-                made.append(None)
-            else:
-                made.append([word_number[w.encode()] for w in _WORD.findall(u)])
-        words = self.encode_words(list(word_number))
+        for u in islice(self.known, len(self.ids), None):
+            made.append(self.special[u] if u in self.special else [words[u.encode()]] if u.isalpha() else [words[w.encode()] for w in (_ASCII_WORD if u.isascii() else _WORD).findall(u)])
+        ids = self.encode_words(list(words))
         none = np.zeros(0, np.int64)
-        ids = [np.array([self.special[u]]) if m is None else words[m[0]] if len(m) == 1 else np.concatenate([words[w] for w in m]) if m else none for u, m in zip(number, made, strict=True)]
-        return docs, ids
+        for m in made:
+            self.ids.append(np.array([m]) if isinstance(m, int) else ids[m[0]] if len(m) == 1 else np.concatenate([ids[w] for w in m]) if m else none)
+        return docs, self.ids
+
+    def strings(self) -> list[tuple[int, str, str]]:
+        """How many ids each known unit has, the ids, and the unit decoded, as they stand in a text's."""
+        for x in islice(self.ids, len(self.written), None):
+            some = x.tolist()
+            self.written.append((len(some), " ".join(map(self.number.__getitem__, some)), " ".join(map(self.token.__getitem__, some))))
+        return self.written
 
     def encode_ids(self, text: str) -> list[int]:
         docs, ids = self.encode([text])
@@ -232,13 +262,12 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         e = encoder(path)
         for b in pieces(batches, limit=INDEX_BYTES):
             units, ids = e.encode([t or "" for t in column(b, "text").to_pylist()])
-            n = [len(i) for i in ids]
-            number = [" ".join(map(str, i.tolist())) for i in ids]
-            string = [e.decode(i.tolist()) for i in ids]
-            units = [[u for u in x if n[u]] for x in units]
-            sha = lambda part, x: hashlib.sha256(" ".join([part[u] for u in x]).encode()).hexdigest()
+            n, number, string = zip(*e.strings(), strict=True) if ids else ((), (), ())
+            if 0 in n:
+                units = [[u for u in x if n[u]] for x in units]
+            sha = lambda part, x: hashlib.sha256(" ".join(map(part.__getitem__, x)).encode()).hexdigest()
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id"), pa.array([sum([n[u] for u in x]) for x in units], pa.int64()), pa.array([sha(number, x) for x in units]), pa.array([sha(string, x) for x in units])],
+                [column(b, "doc_id"), pa.array([sum(map(n.__getitem__, x)) for x in units], pa.int64()), pa.array([sha(number, x) for x in units]), pa.array([sha(string, x) for x in units])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
