@@ -16,8 +16,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    import __spark_entry__
+    from chronokv.functions.shipping import ship
 
-    __spark_entry__._ship(session)
+    ship(session)
     yield session
     session.stop()
