@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 U64 = np.uint64
 #: Bytes of text whose scratch arrays a worker holds at once.
 SLICE_BYTES = 1 << 20
@@ -45,7 +47,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def in_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: a batch of very long texts must fit a worker."""
+    """Keep Arrow batches small, as a batch of very long texts must fit a worker, and give workers the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

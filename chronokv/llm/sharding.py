@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, written
+from .common import gapless, in_batches, written
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -48,6 +48,7 @@ def assign(df: DataFrame, keys: list[str], shards: int, grow_to: int | None = No
     rows share a shard.  Repeated rows share a shard.  An empty table stays empty.  Columns of ``df``
     named ``shard`` or ``grown_shard`` are replaced.
     """
+    in_batches(df.sparkSession)
     key = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
     out = df.withColumn("shard", shard_of(key, shards))
     return out.withColumn("grown_shard", shard_of(key, grow_to)) if grow_to else out

@@ -122,18 +122,21 @@ def buckets_for(docs: DataFrame, text: str = "text") -> int:
     return max(LEAST_BUCKETS, 1 << (int(total) // 6 // BUCKET_WINDOWS).bit_length())
 
 
-def _answered(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """``docs`` with ``_hashes``, the lists of their windows that are to go."""
+def _answered(docs: DataFrame, k: int, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with a further last column, the lists of their windows that are to go, and its name."""
+    name = "_hashes"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     late = repeated(own.where("doc_id is not null and text is not null"), k, buckets_for(own))
-    answers = late.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("hashes").alias("_hashes"))
-    return docs.join(answers, docs["doc_id"] == answers["_id"], "left").drop("_id")
+    answers = late.groupBy(F.col("doc_id").alias(f"{name}id")).agg(F.collect_list("hashes").alias(name))
+    return docs.join(answers, docs["doc_id"] == answers[f"{name}id"], "left").drop(f"{name}id"), name
 
 
-def _gone(batch: pa.RecordBatch, text: str, k: int) -> tuple[Words, np.ndarray]:
+def _gone(batch: pa.RecordBatch, text: str, k: int, name: str) -> tuple[Words, np.ndarray]:
     """The words of a slice of answered documents, and which of them a repeated window covers."""
     w, h, at = _hashes(column(batch, text), k)
-    lists = [b"".join(x) if x else b"" for x in column(batch, "_hashes").to_pylist()]
+    lists = [b"".join(x) if x else b"" for x in column(batch, name).to_pylist()]
     size = np.array([len(x) // 8 for x in lists], np.int64)
     salt = np.arange(w.docs, dtype=np.int64).view(U64) * U64(0x9E3779B97F4A7C15)
     wanted = np.sort(mix(np.frombuffer(b"".join(lists), U64) + np.repeat(salt, size)))
@@ -159,11 +162,11 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, text: str = "text") -> Data
     take from each other.  An empty table gives no rows; other columns are not read.
     """
     in_batches(docs.sparkSession)
-    joined = _answered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), k, "text")
+    joined, name = _answered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), k, "text")
 
     def strip(batches):
         for b in pieces(batches):
-            w, gone = _gone(b, "text", k)
+            w, gone = _gone(b, "text", k, name)
             removed = np.bincount(w.doc[gone], minlength=w.docs)
             same = w.doc[1:] == w.doc[:-1]
             first = np.flatnonzero(gone & ~(np.append(False, gone[:-1] & same) if len(gone) else gone))
@@ -188,12 +191,12 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, text: str = "text", chars:
     those of :func:`remove_repeats`.
     """
     in_batches(docs.sparkSession)
-    joined = _answered(docs, k, text)
+    joined, name = _answered(docs, k, text)
     names = docs.columns
 
     def strip(batches):
         for b in pieces(batches, text):
-            w, gone = _gone(b, text, k)
+            w, gone = _gone(b, text, k, name)
             old = column(b, text)
             new = old
             if gone.any():

@@ -19,7 +19,7 @@ from chronokv.llm import bpe, cotrain, licenses, media, packing, quality, regist
 from chronokv.llm.common import Words, gapless, written
 from chronokv.llm.links import components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _hashes string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PASSAGE = " ".join(f"passage{i}" for i in range(30))
 LICENCE = "Intro line here.\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License. More text"
