@@ -48,6 +48,12 @@ def overlap_closure(files: DataFrame, low, high) -> DataFrame:
     return marked.join(hit.select("level", "island").distinct(), ["level", "island"], "left_semi")
 
 
+def cut_inputs(files: DataFrame, max_bytes: int) -> DataFrame:
+    """A range compaction's inputs in a level without overlaps: files in key order until they have ``max_bytes``."""
+    before = F.sum("file_size").over(Window.partitionBy("level").orderBy("lo", "number").rowsBetween(Window.unboundedPreceding, -1))
+    return files.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < max_bytes)).drop("_before")
+
+
 def overlap_violations(files: DataFrame) -> DataFrame:
     """Files below level 0, and how many begin before the one before them in their level ends."""
     before = F.lag("hi").over(Window.partitionBy("level").orderBy("lo", "number"))

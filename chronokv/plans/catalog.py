@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, keys
 from ..functions.tables import in_order, shared_dir
 from ..operators import batches, compaction, manifest, reads, runs
-from ..sources import wal
+from ..sources import tables, wal
 from ..streaming import ingest
 
 SNAPSHOT = 5000
@@ -508,6 +508,41 @@ def merge_compaction(spark, d):
     return compaction.merge([every.where(seq > 8000), every.where((seq > 4000) & (seq <= 8000)), every.where(seq <= 4000)], SNAPSHOTS)
 
 
+_SOME_EDITS = "edits AS (SELECT event_id AS edit_no, user_id % 3 AS level, event_id % 700 AS number, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END AS what, strlen(props) AS size FROM events)"
+
+
+@query(f"WITH {_SOME_EDITS}, r AS (SELECT *, row_number() OVER (PARTITION BY level, number ORDER BY edit_no DESC) AS rn FROM edits) SELECT level, number, edit_no, size FROM r WHERE rn = 1 AND what = 'add'")
+def version_fold(spark, d):
+    what = F.when(F.col("event_type") == "error", "delete").otherwise("add")
+    edits = table(spark, d, "events").select(F.col("event_id").alias("edit_no"), (F.col("user_id") % 3).alias("level"), (F.col("event_id") % 700).alias("number"), what.alias("what"), F.octet_length("props").cast("long").alias("size"))
+    return tables.fold_edits(edits)
+
+
+@query(f"""WITH {_FILES}, hit AS (SELECT *, sum(file_size) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM files WHERE level = 1 AND hi >= '00000015' AND lo <= '00000120')
+SELECT level, number FROM hit WHERE before IS NULL OR before < 200000""")
+def range_inputs(spark, d):
+    files = level_files(spark, d).where("level = 1").where(manifest.overlaps(F.lit("00000015"), F.lit("00000120")))
+    return manifest.cut_inputs(files, 200000).select("level", "number")
+
+
+@query(f"WITH {_FILES} SELECT max(number) + 1 AS next_file_number FROM files")
+def next_file_number(spark, d):
+    return level_files(spark, d).agg((F.max("number") + 1).alias("next_file_number"))
+
+
+@query("""WITH t AS (SELECT o_orderkey // 2000 AS file_no, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o_orderpriority AS value FROM orders)
+SELECT file_no, count(*) AS n_entries, CAST(sum(strlen(key)) AS BIGINT) AS key_bytes, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes, min(key) AS lo, max(key) AS hi FROM t GROUP BY file_no""")
+def table_roundtrip(spark, d):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        got = codec.decode_table(codec.encode_table([(k.encode(), v.encode()) for k, v in zip(pdf["key"], pdf["value"], strict=True)]))
+        found = {"n_entries": len(got), "key_bytes": sum(len(k) for _, k, _ in got), "value_bytes": sum(len(v) for _, _, v in got), "lo": got[0][1].decode(), "hi": got[-1][1].decode()}
+        return pd.DataFrame({"file_no": [pdf["file_no"].iloc[0]]} | {k: [v] for k, v in found.items()})
+
+    o = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 2000).cast("long").alias("file_no"), padded(F.col("o_orderkey"), 10).alias("key"), F.col("o_orderpriority").alias("value"))
+    return o.groupBy("file_no").applyInPandas(run, "file_no long, n_entries long, key_bytes long, value_bytes long, lo string, hi string")
+
+
 # Logs
 
 
