@@ -18,6 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(_ordered(links), "links")
     seen = None
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         # Large star: each node's greater neighbours go to the least of its neighbourhood.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
