@@ -44,8 +44,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("Copyright", "(portions )?copyright( c)? .*"),
     ("AllRights", "all rights reserved"),
 ]
-#: A sentence without any of these can't be a known one.
-HINTS = "licen|copyright|warrant|permission|rights reserved|under (a |the )?(cc|creative commons)|applicable law"
+#: A sentence without any of these words can't be a known one, however it is spaced.
+HINTS = "licen|copyright|warrant|permission|reserved|creative|applicable|\\bcc\\b"
 #: Licence and the identifiers that stand for it, in order and next to each other among the known ones.  Earlier rules go first.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("ApacheLic2", "ApacheComply", "ApacheCopyAt", "ApacheUnless", "ApacheLimits")),

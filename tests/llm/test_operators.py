@@ -327,7 +327,7 @@ def test_licences(spark, docs, rows, empty):
     assert {r.licenses for r in got.where("verdict = 'found'").collect()} == {"Apache-2.0,MIT"}
     assert licenses.scanned(empty).count() == 0
     full = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies.\nThe software is provided 'as is', without warranty of any kind.\nCopyright (c) 2020 Someone"
-    for text, ids, found in ((full, "MITPermit,MITNotice,AsIs,Copyright", "MIT"), ("Licensed under CC BY-NC 4.0.", "CCByNcLic", "CC-BY-NC"), ("All rights reserved", "AllRights", ""), ("SPDX-License-Identifier: MIT\nReleased under the MIT License", "SpdxMit,MITLic", "MIT")):
+    for text, ids, found in ((full, "MITPermit,MITNotice,AsIs,Copyright", "MIT"), ("Licensed under CC BY-NC 4.0.", "CCByNcLic", "CC-BY-NC"), ("All  rights\treserved", "AllRights", ""), ("under\tCC  BY", "CCByLic", "CC-BY"), ("SPDX-License-Identifier: MIT\nReleased under the MIT License", "SpdxMit,MITLic", "MIT")):
         r = licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
         assert (r.sentence_ids, r.licenses) == (ids, found)
 
