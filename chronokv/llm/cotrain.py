@@ -3,7 +3,7 @@
 One view sees a text's content: kinds of characters, repeats and hashed words.  The other sees the page's metadata: language,
 source, size and the layout of its lines.  Each round both logistic models are fitted, and each hands the unlabelled documents
 of which it is surest to the other as pseudo-labels.  At the end both are calibrated on labelled documents that no model was
-fitted on, and their calibrated log-odds, less the prior's, add up to a score for every document.
+fitted on, and a weighted sum of their calibrated log-odds scores every document.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ LABELLED, POOL = 2000, 2000
 ROUNDS = 4
 #: A pseudo-label needs at least this probability; of each class a view hands over so many per round at most.
 SURE, HANDED = 0.97, 200
+#: Strength of the pull when views are combined.
+PULL = 0.1
 WORD_SLOTS, NAME_SLOTS = 512, 64
 _DENSE, _LAYOUT = 14, 12
 CONTENT_SIZE, META_SIZE = _DENSE + WORD_SLOTS, _LAYOUT + 2 * NAME_SLOTS
@@ -97,14 +99,30 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def combine(a: np.ndarray, b: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float, float]:
+    """Weights of two calibrated log-odds and an offset, fitted by Newton steps; pulled towards 1, 1 and less the prior.
+
+    Views that are independent given the class would add up with these; where they aren't, or one is poor on some documents, the weights
+    say so.
+    """
+    x = np.stack([a, b, np.ones(len(a))], 1)
+    start = np.array([1.0, 1.0, -prior])
+    w = start.copy()
+    for _ in range(30):
+        p = sigmoid(x @ w)
+        slope = x.T @ (y - p) - PULL * (w - start)
+        w = w + np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PULL * np.eye(3), slope), -1, 1)
+    return float(w[0]), float(w[1]), float(w[2])
+
+
 @dataclass
 class CoTrained:
-    """Weights of both views, their calibration and the prior's log-odds; None weights keep every document."""
+    """Weights of both views, their calibration and their combination; None weights keep every document."""
 
     content: np.ndarray | None
     meta: np.ndarray | None
     scale: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (1.0, 0.0))
-    prior: float = 0.0
+    mixed: tuple[float, float, float] = (1.0, 1.0, 0.0)
     handed: tuple[int, int] = (0, 0)
 
     def scores(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +132,7 @@ class CoTrained:
             return one, one, one
         a = self.scale[0][0] * (content.astype(np.float64) @ self.content) + self.scale[0][1]
         b = self.scale[1][0] * (meta.astype(np.float64) @ self.meta) + self.scale[1][1]
-        return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
+        return sigmoid(a), sigmoid(b), sigmoid(self.mixed[0] * a + self.mixed[1] * b + self.mixed[2])
 
     @staticmethod
     def trained(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, handed: int = HANDED) -> CoTrained:
@@ -143,8 +161,9 @@ class CoTrained:
                     best = np.argsort(-surety, kind="stable")[:handed]
                     taught[1 - v] |= {int(i): value for i in free[best[surety[best] >= sure]]}
         scale = tuple(calibrate(view[v][aside] @ weights[v], label[aside]) for v in (0, 1))
-        share = (label[known].sum() + 1) / (len(known) + 2)
-        return CoTrained(weights[0], weights[1], scale, float(odds(np.array(share))), (len(taught[0]), len(taught[1])))
+        prior = float(odds(np.array((label[known].sum() + 1) / (len(known) + 2))))
+        a, b = (scale[v][0] * (view[v][aside] @ weights[v]) + scale[v][1] for v in (0, 1))
+        return CoTrained(weights[0], weights[1], scale, combine(a, b, label[aside], prior), (len(taught[0]), len(taught[1])))
 
 
 _COLUMNS = ("text", "lang", "source", "n_chars")
