@@ -56,4 +56,4 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_quality_rules, op2_wordpiece_counts, op3_simhash_groups, op4_substring_dedup, op5_license_scan, op6_packing, op7_sharding, op8_media, op9_word_bpe, op10_cotraining)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": substrings.oracle_sql(), "op5_license_scan": licenses.oracle_sql()}

@@ -236,3 +236,17 @@ def _joined(w: Words, kept: np.ndarray) -> list[bytes]:
     last = np.cumsum(np.bincount(w.doc[kept], minlength=w.docs))
     edge = ends[np.concatenate([[0], last])]
     return [flat[s : max(s, e - 1)] for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+def oracle_sql(k: int = WINDOW, source: str = "documents") -> str:
+    """DuckDB SQL with doc_id, n_words, n_removed and kept_sha256 of :func:`remove_repeats`, for ids that are unique and not null."""
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM {source}),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {k} + 2)) AS i FROM w WHERE len(ws) >= {k}),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + {k - 1}], ' ') AS s FROM starts),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT win.doc_id, win.i + j AS pos FROM win JOIN least USING (s), range({k}) t(j) WHERE least.m < win.doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+marked AS (SELECT words.*, gone.pos IS NOT NULL AS out FROM words LEFT JOIN gone USING (doc_id, pos)),
+left_over AS (SELECT doc_id, count(*) FILTER (WHERE out) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT out), '') AS kept FROM marked GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN left_over USING (doc_id)"""

@@ -308,6 +308,14 @@ def test_substrings(docs, rows, empty):
             assert WORD.findall(r.text) == [x for i, x in enumerate(w) if i not in gone] and r.n_chars == len(r.text)
 
 
+def test_substrings_by_sql(spark, rows):
+    ids = collections.Counter(r[0] for r in rows)
+    single = [r for r in rows if r[0] is not None and ids[r[0]] == 1]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in single], pa.int64()), "text": pa.array([r[1] for r in single], pa.string())}))
+    same(substrings.remove_repeats(spark.createDataFrame(single, SCHEMA)).drop("intervals"), con.sql(registry.ORACLE_SQL["op4_substring_dedup"]).fetchall())
+
+
 def test_windows_in_one_slice_and_in_many(spark):
     rows = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(50)), None, None, 0, None, None) for i in range(300)]
     want = [(r[0], len(w), len(gone)) for r, (w, gone) in zip(rows, removals(rows), strict=True)]
