@@ -6,11 +6,11 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import types as T
 
+# Fixed values of the formats and of the level rules.
 DELETE, PUT = 0, 1
 MAX_SEQ = (1 << 56) - 1
 LEVELS, L0_TRIGGER, L0_SLOWDOWN = 7, 4, 8
-#: Deepest level that a flush may go to.
-MAX_FLUSH_LEVEL = 2
+MAX_FLUSH_LEVEL = 2  # the deepest level that a flush may go to
 
 OPLOG = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("seq", T.LongType()), T.StructField("vt", T.ByteType()), T.StructField("value", T.BinaryType())])
 INTERNAL_KEY = T.StructType([T.StructField("user_key", T.BinaryType()), T.StructField("seq", T.LongType()), T.StructField("vt", T.ByteType())])
