@@ -42,32 +42,36 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", fold: bo
     key = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        digest = xxhash.xxh64_intdigest
         for b in pieces(batches):
-            w = Words(column(b, "text"))
-            size = w.end - w.start
-            # One buffer with each word and a space after it.
-            to = np.concatenate([[0], np.cumsum(size + 1)])
-            keep = w.inside.copy()
-            raw = np.full(to[-1], 32, np.uint8)
-            at = np.ones(to[-1], bool)
-            at[to[1:] - 1] = False
-            raw[at] = _UPPER[w.raw[keep]] if fold else w.raw[keep]
-            flat = raw.tobytes()
-            # Shingles: from word i to word i + k - 1 of the same text, or a short text's first to last word.
-            m = len(size) - shingle + 1
-            first = np.flatnonzero(w.doc[:m] == w.doc[shingle - 1 :]) if m > 0 else np.zeros(0, np.int64)
-            short = np.flatnonzero((w.n > 0) & (w.n < shingle))
-            doc = np.concatenate([w.doc[first], short])
-            begin = np.concatenate([to[first], to[w.first[short]]])
-            end = np.concatenate([to[first + shingle], to[w.first[short] + w.n[short]]]) - 1
-            by = np.argsort(doc, kind="stable")
-            h = np.fromiter((digest(flat[s:e], 42) for s, e in zip(begin[by].tolist(), end[by].tolist(), strict=True)), U64, len(by))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(majority(h, doc[by], w.docs).view(np.int64))], ["doc_id", "bits"])
+            codes = _simhashes(Words(column(b, "text")), shingle, fold)
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(codes.view(np.int64))], ["doc_id", "bits"])
 
     return d.mapInArrow(run, f"doc_id {key}, bits long")
 
 
+def _simhashes(w: Words, shingle: int, fold: bool) -> np.ndarray:
+    """The SimHash of each text of a slice."""
+    digest = xxhash.xxh64_intdigest
+    size = w.end - w.start
+    # One buffer with each word and a space after it.
+    to = np.concatenate([[0], np.cumsum(size + 1)])
+    raw = np.full(to[-1], 32, np.uint8)
+    at = np.ones(to[-1], bool)
+    at[to[1:] - 1] = False
+    raw[at] = _UPPER[w.raw[w.inside]] if fold else w.raw[w.inside]
+    flat = raw.tobytes()
+    # Shingles: from word i to word i + k - 1 of the same text, or a short text's first to last word.
+    m = len(size) - shingle + 1
+    first = np.flatnonzero(w.doc[:m] == w.doc[shingle - 1 :]) if m > 0 else np.zeros(0, np.int64)
+    short = np.flatnonzero((w.n > 0) & (w.n < shingle))
+    doc = np.concatenate([w.doc[first], short])
+    begin = np.concatenate([to[first], to[w.first[short]]])
+    end = np.concatenate([to[first + shingle], to[w.first[short] + w.n[short]]]) - 1
+    by = np.argsort(doc, kind="stable")
+    h = np.fromiter((digest(flat[s:e], 42) for s, e in zip(begin[by].tolist(), end[by].tolist(), strict=True)), U64, len(by))
+    return majority(h, doc[by], w.docs)
+
+
 def majority(hashes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """For each document, the bits that over half of its hashes have; ``doc`` ascends."""
     n = np.bincount(doc, minlength=docs)
@@ -293,7 +297,7 @@ def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def sampled(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
-    """doc_id, n (distinct shingles), set_a and set_b (equal for equal sets) and ``prints``: SimHashes of samples of the set.
+    """doc_id, n (distinct shingles), set_a and set_b (equal for equal sets), ``prints``: SimHashes of samples of the set, and ``bits`` of :func:`fingerprints`.
 
     A set is dealt by hash into a power of two of groups of a few shingles each; the first groups' SimHashes
     are the prints, each with its group and their number mixed in.  Sets that differ in a fifth of
@@ -328,9 +332,10 @@ def sampled(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
             by = np.argsort(at, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=w.docs))]).astype(np.int32)
             prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[by].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), prints], ["doc_id", "n", "set_a", "set_b", "prints"])
+            bits = pa.array(_simhashes(w, 3, fold=False).view(np.int64))
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), prints, bits], ["doc_id", "n", "set_a", "set_b", "prints", "bits"])
 
-    return d.mapInArrow(run, f"doc_id {key}, n long, set_a long, set_b long, prints array<long>")
+    return d.mapInArrow(run, f"doc_id {key}, n long, set_a long, set_b long, prints array<long>, bits long")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, text: str = "text") -> DataFrame:
@@ -371,31 +376,27 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
 
     Candidates are fingerprints that the Gray-order index links at ``most`` bits, and documents with an equal sampled
     print; within a print all are paired with the least document alone, so pairs are fewer than prints.  A pair
-    links if the exact Jaccard similarity of its shingle sets suffices.  Equal sets link without a comparison.
+    links if the exact Jaccard similarity of its shingle sets suffices.  Equal sets link without a comparison, and one document stands for each.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text"))
     rows = written(sampled(named, shingle), "samples")
     sets = ["set_a", "set_b"]
     classes = written(rows.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prints").alias("prints")), "classes")
+    reps = written(rows.join(classes.select(*sets, "rep"), sets).select("doc_id", "rep", "bits"), "reps")
     spread = classes.select("rep", "n", F.explode(F.array_distinct("prints")).alias("p"))
     least = spread.groupBy("p").agg(F.min(F.struct("rep", "n")).alias("m"), F.count("*").alias("c")).where("c > 1").select("p", "m")
     fits = F.least("n", F.col("m.n")) >= similarity * F.greatest("n", F.col("m.n")) - 1e-9
     near = spread.join(least, "p").where((F.col("rep") != F.col("m.rep")) & fits).select(F.col("m.rep").alias("a"), F.col("rep").alias("b"))
     if most:
-        prints = written(fingerprints(named, 3), "prints")
-        codes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "codes")
+        # A fingerprint is known by its least document; those of other sets with the same one are compared with it.
+        codes = written(reps.groupBy("bits").agg(F.min("rep").alias("least")), "codes")
         links = near_links(codes, most)
         ends = links.join(codes.select(F.col("bits").alias("a"), F.col("least").alias("u")), "a").join(codes.select(F.col("bits").alias("b"), F.col("least").alias("v")), "b")
-        near = near.union(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
-        # Of one fingerprint, other sets than the least document's are compared with it.
-        alike = prints.join(rows.select("doc_id", *sets), "doc_id").join(classes.select(*sets, "rep"), sets).groupBy("bits", "rep").agg(F.count("*").alias("_")).join(codes, "bits")
-        near = near.union(alike.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+        alike = reps.select("bits", "rep").distinct().join(codes, "bits").where("rep != least")
+        near = near.union(ends.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).union(alike.select(F.col("least").alias("a"), F.col("rep").alias("b")))
     pairs = written(near.distinct(), "pairs")
-    roots = components(written(similar(pairs, named, shingle, similarity), "links"))
-    # Nodes are documents that stand for their sets, or for their fingerprints: carry roots over to every document of an equal set.
-    reps = rows.join(classes.select(*sets, "rep"), sets).select("doc_id", "rep")
-    every = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(reps.join(roots.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    found = reps.join(every.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    roots = components(similar(pairs, named, shingle, similarity))
+    found = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return found.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
 
 
