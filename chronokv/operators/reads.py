@@ -45,19 +45,25 @@ def multi_get(log: DataFrame, probes: DataFrame, bucket: int = BUCKET_SEQS) -> D
     spread over buckets of its sequence numbers, and each bucket gets the last version before it.
     """
     at = F.floor(F.col("seq") / bucket).cast("long").alias("_b")
-    top = F.lit((1 << 62) - 1)
+    newest_seq = log.agg(F.max("seq")).first()[0] or 0
+    top = F.lit(newest_seq).cast("long")
     version = F.struct("seq", "vt", "value")
     rows = log.select("key", "seq", at, F.lit(0).alias("_kind"), version.alias("_v"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.lit(None).cast("long").alias("snapshot_seq"))
-    limit = F.coalesce(F.col("snapshot_seq"), top)
+    limit = F.least(F.coalesce(F.col("snapshot_seq"), top), top)
     asks = probes.select("key", limit.alias("seq"), F.floor(limit / bucket).cast("long").alias("_b"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"), "probe_id", "snapshot_seq")
     seen = Window.partitionBy("key", "_b").orderBy("seq", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.unionByName(asks).withColumn("_hit", F.last("_v", ignorenulls=True).over(seen)).where(F.col("_kind") == 1)
+    if newest_seq < bucket:  # one bucket: nothing to carry into it
+        return _answers(local.withColumn("_v", F.col("_hit")))
     ends = log.select("key", at, version.alias("_v")).groupBy("key", "_b").agg(F.max_by("_v", F.col("_v.seq")).alias("_end"))
     wanted = asks.select("key", "_b").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
     line = ends.unionByName(wanted).groupBy("key", "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
     earlier = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = line.withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).select("key", "_b", "_carry")
-    found = local.join(carry, ["key", "_b"], "left").withColumn("_v", F.coalesce("_hit", "_carry"))
+    return _answers(local.join(carry, ["key", "_b"], "left").withColumn("_v", F.coalesce("_hit", "_carry")))
+
+
+def _answers(found: DataFrame) -> DataFrame:
     status = F.when(F.col("_v").isNull(), "missing").when(F.col("_v.vt") == DELETE, "deleted").otherwise("found")
     return found.select("probe_id", "key", "snapshot_seq", F.col("_v.seq").alias("seq"), F.col("_v.vt").alias("vt"), F.when(F.col("_v.vt") == PUT, F.col("_v.value")).alias("value"), status.alias("status"))
 
@@ -88,6 +94,8 @@ def history(log: DataFrame, bucket: int = BUCKET_SEQS) -> DataFrame:
 
     Sorted within a key's buckets; a bucket's last version gets its successor from the table of buckets.
     """
+    if (log.agg(F.max("seq")).first()[0] or 0) < bucket:  # one bucket
+        return log.withColumn("next_seq", F.lead("seq").over(Window.partitionBy("key").orderBy("seq")))
     rows = log.withColumn("_b", F.floor(F.col("seq") / bucket).cast("long"))
     first = rows.groupBy("key", "_b").agg(F.min("seq").alias("_first"))
     after = first.withColumn("_after", F.lead("_first").over(Window.partitionBy("key").orderBy("_b"))).select("key", "_b", "_after")
