@@ -342,9 +342,10 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
     """The pairs (``a``, ``b``: doc_ids) whose shingle sets have at least this Jaccard similarity, exactly.
 
     Only documents that are in a pair have their sets built; a pair brings two sets together, whatever the other pairs of its documents.
+    Joins are by merging at any size: pairs and sets grow with the table, so a plan that sends them to all tasks would not last.
     """
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text")).join(named, "doc_id", "left_semi")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text")).join(named.hint("merge"), "doc_id", "left_semi")
 
     def build(batches):
         for b in pieces(batches):
@@ -355,7 +356,8 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
 
     # Rows of one doc_id with several texts: one of them, always the same, stands for all.
     sets = written(d.mapInArrow(build, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    first, second = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)).hint("merge") for k, v in (("a", "x"), ("b", "y")))
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
 
     def check(batches):
         for b in batches:
@@ -408,7 +410,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     """
     groups = written(similar_groups(docs, shingle, similarity, text=text), "groups")
     late = groups.where("doc_id != group_id").select("doc_id").distinct()
-    left = docs.join(late, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(late.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     n, ids = groups.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if n == ids:
         return left
