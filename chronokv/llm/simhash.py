@@ -373,11 +373,36 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
     return both.mapInArrow(check, "a long, b long")
 
 
+#: Pivots of a print grow by this factor from round to round.
+PIVOTS = 4
+
+
+def _round(spread: DataFrame, roots: DataFrame | None, pivots: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to test now, and the rows of ``spread`` (p, rep, n) that are left for later rounds.
+
+    Prints whose holders are all connected are done.  Of each other print up to ``pivots`` holders, those of the largest components first, are paired with
+    all holders that aren't connected to them and then leave the print: nothing in it is untested against them.
+    """
+    live = spread.withColumn("root", F.col("rep")).withColumn("size", F.lit(1).cast("long"))
+    if roots is not None:
+        sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").select(F.col("node").alias("rep"), "root", "size")
+        live = spread.join(sized.hint("merge"), "rep", "left").select("p", "rep", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    apart = live.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("p")
+    live = written(live.join(apart.hint("merge"), "p", "left_semi"), "live")
+    salt = F.pmod(F.xxhash64("rep"), F.lit(pivots))
+    chosen = live.groupBy("p", salt.alias("salt")).agg(F.max(F.struct("size", (-F.col("rep")).alias("least"), "rep", "n", "root")).alias("m"))
+    chosen = written(chosen.select("p", F.col("m.rep").alias("m_rep"), F.col("m.n").alias("m_n"), F.col("m.root").alias("m_root")), "pivots")
+    fits = F.least("n", "m_n") >= similarity * F.greatest("n", "m_n") - 1e-9
+    pairs = live.join(chosen.hint("merge"), "p").where((F.col("root") != F.col("m_root")) & fits).select(F.least("rep", "m_rep").alias("a"), F.greatest("rep", "m_rep").alias("b"))
+    rest = live.join(chosen.select("p", F.col("m_rep").alias("rep")).hint("merge"), ["p", "rep"], "left_anti").select("p", "rep", "n")
+    return pairs.distinct(), rest
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2, text: str = "text") -> DataFrame:
     """doc_id and group_id, the smallest doc_id of those that links of at least ``similarity`` connect; rows without doc_id are left out.
 
     Candidates are fingerprints that the Gray-order index links at ``most`` bits, and documents with an equal sampled
-    print; within a print all are paired with the least document alone, so pairs are fewer than prints.  A pair
+    print.  Within a print rounds of :func:`_round` go on until every two holders are tested or connected.  A pair
     links if the exact Jaccard similarity of its shingle sets suffices.  Equal sets link without a comparison, and one document stands for each.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text"))
@@ -386,9 +411,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     classes = written(rows.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prints").alias("prints")), "classes")
     reps = written(rows.join(classes.select(*sets, "rep"), sets).select("doc_id", "rep", "bits"), "reps")
     spread = classes.select("rep", "n", F.explode(F.array_distinct("prints")).alias("p"))
-    least = spread.groupBy("p").agg(F.min(F.struct("rep", "n")).alias("m"), F.count("*").alias("c")).where("c > 1").select("p", "m")
-    fits = F.least("n", F.col("m.n")) >= similarity * F.greatest("n", F.col("m.n")) - 1e-9
-    near = spread.join(least, "p").where((F.col("rep") != F.col("m.rep")) & fits).select(F.col("m.rep").alias("a"), F.col("rep").alias("b"))
+    several = spread.groupBy("p").agg(F.count("*").alias("c")).where("c > 1").select("p")
+    near, spread = _round(spread.join(several.hint("merge"), "p", "left_semi").select("p", "rep", "n"), None, 1, similarity)
     if most:
         # A fingerprint is known by its least document; those of other sets with the same one are compared with it.
         codes = written(reps.groupBy("bits").agg(F.min("rep").alias("least")), "codes")
@@ -396,8 +420,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
         ends = links.join(codes.select(F.col("bits").alias("a"), F.col("least").alias("u")), "a").join(codes.select(F.col("bits").alias("b"), F.col("least").alias("v")), "b")
         alike = reps.select("bits", "rep").distinct().join(codes, "bits").where("rep != least")
         near = near.union(ends.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).union(alike.select(F.col("least").alias("a"), F.col("rep").alias("b")))
-    pairs = written(near.distinct(), "pairs")
-    roots = components(similar(pairs, named, shingle, similarity))
+    pairs = tested = written(near.distinct(), "pairs")
+    roots, pivots = None, 1
+    while True:
+        if roots is None or not pairs.isEmpty():
+            links = similar(pairs, named, shingle, similarity)
+            roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        spread, pivots = written(spread, "spread"), pivots * PIVOTS
+        if spread.isEmpty():
+            break
+        near, spread = _round(spread, roots, pivots, similarity)
+        pairs = written(near.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
     found = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return found.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
 

@@ -232,6 +232,21 @@ def test_similar_groups(spark, docs, rows, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+def test_copies_that_only_their_base_connects(spark):
+    base = [f"b{i}" for i in range(300)]
+    copies = []
+    for i in range(21):
+        words = list(base)
+        for k in range(5):
+            words[5 + 58 * k + (2 * i) % 42] = f"copy{i}x{k}"
+        copies.append((i, " ".join(words)))
+    given = [*copies, (100, " ".join(base))]
+    want = similar_by_all_pairs(given)
+    assert set(want.values()) == {0} and len(set(similar_by_all_pairs(copies).values())) > 1
+    frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
+    assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame, most=0).collect()} == want
+
+
 def test_one_of_each(docs, rows, empty):
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns and simhash.one_of_each(empty).count() == 0
