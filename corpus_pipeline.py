@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
-    return cotrain.keep(docs, cotrain.train(docs, table(spark, sf_dir, "labels")))
+    """Documents that the co-trained classifier keeps; it is fitted on the raw table, as the rules before it leave no poor labelled rows."""
+    return cotrain.keep(docs, cotrain.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,23 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, str(SF)).count() == before.count()
 
 
+def test_classifier_rejects_poor_documents_after_the_rules(spark, monkeypatch):
+    raw = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = corpus_pipeline.quality_rules(spark, raw, str(SF))
+    poor = raw.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi").select(*raw.columns)
+    fitted = []
+    train = cotrain.train
+    monkeypatch.setattr(cotrain, "train", lambda *a, **k: fitted.append(train(*a, **k)) or fitted[-1])
+    # Of poor labelled documents the rules keep none, so they are put in again under ids without labels.
+    given = written(kept.union(poor.withColumn("doc_id", -poor["doc_id"] - 1)), "stage")
+    left = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, given, str(SF)).collect()}
+    assert fitted[0].content is not None and fitted[0].meta is not None
+    injected = {-r.doc_id - 1 for r in poor.collect()}
+    assert injected and not injected & left
+    assert {r.doc_id for r in kept.collect()} <= left
+
+
 def test_registry():
     numbers = collections.Counter(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES)
     assert numbers == {n: 1 for n in range(1, 11)}
