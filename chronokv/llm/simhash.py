@@ -267,10 +267,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, text: str
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Sampled fingerprints: shingles to a group on average, and groups of a text that count.
-GROUP_SHINGLES, GROUPS = 3, 16
-#: Two sets of similarity s differ in size by at most this in log2, for s of 0.8: each side allows for half.
-_SIDE = 0.17
+#: Documents, and shingles found in several of them, that say which shingles are common; they change the order of prints alone, not what is found.
+COMMON_DOCS, COMMON = 20_000, 200_000
 
 
 def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -296,17 +294,31 @@ def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
     return w, h[new], doc[new]
 
 
-def sampled(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
-    """doc_id, n (distinct shingles), set_a and set_b (equal for equal sets), ``prints``: SimHashes of samples of the set, and ``bits`` of :func:`fingerprints`.
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that are in several of about ``COMMON_DOCS`` documents, and in how many."""
+    step = max(1, docs.count() // COMMON_DOCS)
 
-    A set is dealt by hash into a power of two of groups of a few shingles each; the first groups' SimHashes
-    are the prints, each with its group and their number mixed in.  Sets that differ in a fifth of
-    their shingles leave about half of the groups untouched, whose prints are equal.  Sizes near a power of two are
-    dealt both ways.
+    def run(batches):
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_sets(column(b, "text"), shingle)[1].view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(run, "h long")
+    often = some.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    h, n = often["h"].to_numpy(np.int64).view(U64), often["count"].to_numpy(np.int64)
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def prefixes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """doc_id, n (distinct shingles), set_a and set_b (equal for equal sets), ``prints``, and ``bits`` of :func:`fingerprints`.
+
+    All sets are put in one order of shingles, rare ones first.  Sets of at least this similarity share so many shingles that they share one
+    of the first n - ceil(similarity * n) + 1 of each, whatever the order and size; the hashes of these are the prints.
     """
     in_batches(docs.sparkSession)
     d = docs.select("doc_id", docs[text].alias("text"))
     key = d.schema["doc_id"].dataType.simpleString()
+    known, times = _common(d, shingle)
 
     def run(batches):
         for b in pieces(batches):
@@ -314,24 +326,15 @@ def sampled(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
             n = np.bincount(doc, minlength=w.docs)
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
             set_a, set_b = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ U64(0xA5A5A5A5)), first)
-            size = np.log2(n / GROUP_SHINGLES)
-            low, high = (np.maximum(np.floor(size + side), 0).astype(np.int64) for side in (-_SIDE, _SIDE))
-            place = mix(h + U64(0x51ED))
-            found_doc, found = [], []
-            for level, use in ((low, np.ones(w.docs, bool)), (high, high != low)):
-                group = (place & ((U64(1) << level[doc].astype(U64)) - U64(1))).astype(np.int64)
-                take = (group < GROUPS) & use[doc]
-                slot = doc[take] * GROUPS + group[take]
-                order = np.argsort(slot, kind="stable")
-                codes = majority(h[take][order], slot[order], w.docs * GROUPS)
-                have = np.bincount(slot, minlength=w.docs * GROUPS)
-                good = np.flatnonzero((have > 1) | ((have == 1) & np.repeat(n < 8, GROUPS)))
-                found_doc.append(good // GROUPS)
-                found.append(mix(codes[good] ^ mix(((level[good // GROUPS] << 8) + good % GROUPS).astype(U64) + U64(0xC0DE))))
-            at, codes = np.concatenate(found_doc), np.concatenate(found)
-            by = np.argsort(at, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=w.docs))]).astype(np.int32)
-            prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[by].view(np.int64)))
+            count = np.zeros(len(h), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                count = np.where(known[at] == h, times[at], 0)
+            by = np.lexsort((h, count, doc))
+            size = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+            take = by[np.arange(len(h)) - np.repeat(first, n) < np.repeat(size, n)]
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[take].view(np.int64)))
             bits = pa.array(_simhashes(w, 3, fold=False).view(np.int64))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), prints, bits], ["doc_id", "n", "set_a", "set_b", "prints", "bits"])
 
@@ -401,12 +404,12 @@ def _round(spread: DataFrame, roots: DataFrame | None, pivots: int, similarity:
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2, text: str = "text") -> DataFrame:
     """doc_id and group_id, the smallest doc_id of those that links of at least ``similarity`` connect; rows without doc_id are left out.
 
-    Candidates are fingerprints that the Gray-order index links at ``most`` bits, and documents with an equal sampled
-    print.  Within a print rounds of :func:`_round` go on until every two holders are tested or connected.  A pair
+    Candidates are fingerprints that the Gray-order index links at ``most`` bits, and documents with an equal print of :func:`prefixes`, which
+    every pair that should link has.  Within a print rounds of :func:`_round` go on until every two holders are tested or connected.  A pair
     links if the exact Jaccard similarity of its shingle sets suffices.  Equal sets link without a comparison, and one document stands for each.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text"))
-    rows = written(sampled(named, shingle), "samples")
+    rows = written(prefixes(named, shingle, similarity), "prefixes")
     sets = ["set_a", "set_b"]
     classes = written(rows.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prints").alias("prints")), "classes")
     reps = written(rows.join(classes.select(*sets, "rep"), sets).select("doc_id", "rep", "bits"), "reps")

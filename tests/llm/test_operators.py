@@ -247,6 +247,27 @@ def test_copies_that_only_their_base_connects(spark):
     assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame, most=0).collect()} == want
 
 
+def test_near_copies_of_short_texts(spark):
+    given = []
+    for n in range(5, 61):
+        for j, edit in enumerate(("append", "replace first", "replace last", "cut")):
+            words = [f"t{n}x{j}w{i}" for i in range(n + 4)]
+            more = n // 4 if edit == "append" else 0
+            other = [*words, *(f"t{n}x{j}new{i}" for i in range(more))]
+            for k in range(n // 10):
+                if edit == "replace first":
+                    other[k] += "edit"
+                elif edit == "replace last":
+                    other[-1 - k] += "edit"
+            if edit == "cut":
+                other = words[: n + 4 - n // 5]
+            given += [(2 * len(given), " ".join(words)), (2 * len(given) + 1, " ".join(other))]
+    want = similar_by_all_pairs(given)
+    frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
+    for most in (0, 2):
+        assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame, most=most).collect()} == want
+
+
 def test_one_of_each(docs, rows, empty):
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns and simhash.one_of_each(empty).count() == 0
