@@ -405,7 +405,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     """doc_id and group_id, the smallest doc_id of those that links of at least ``similarity`` connect; rows without doc_id are left out.
 
     Candidates are fingerprints that the Gray-order index links at ``most`` bits, and documents with an equal print of :func:`prefixes`, which
-    every pair that should link has.  Within a print rounds of :func:`_round` go on until every two holders are tested or connected.  A pair
+    every pair that should link has.  The index's links only span its components, and equal fingerprints are compared with the least document's: pairs
+    that these leave out and that should link meet in a print.  Within a print rounds of :func:`_round` go on until every two holders are tested or connected.  A pair
     links if the exact Jaccard similarity of its shingle sets suffices.  Equal sets link without a comparison, and one document stands for each.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text"))

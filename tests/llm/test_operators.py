@@ -268,6 +268,21 @@ def test_near_copies_of_short_texts(spark):
         assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame, most=most).collect()} == want
 
 
+def test_equal_fingerprints_of_a_dissimilar_least_document(spark):
+    given = []
+    for i in range(60):
+        phrase = f"p{i}a p{i}b p{i}c " * 60
+        tail = [f"x{i}w{k}" for k in range(5)]
+        for words in ([f"z{i}w{k}" for k in range(5)], tail, [*tail, f"y{i}", f"y{i}b"]):
+            given.append((len(given), phrase + " ".join(words)))
+    frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
+    bits = {r.doc_id: r.bits for r in simhash.fingerprints(frame, fold=False).collect()}
+    assert any(bits[i] == bits[i + 1] == bits[i + 2] for i in range(0, len(given), 3))
+    want = similar_by_all_pairs(given)
+    assert all(want[i] == i and want[i + 1] == want[i + 2] == i + 1 for i in range(0, len(given), 3))
+    assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame).collect()} == want
+
+
 def test_one_of_each(docs, rows, empty):
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns and simhash.one_of_each(empty).count() == 0
