@@ -173,10 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     """Fit on at most ``labelled`` labelled and ``pool`` unlabelled documents; both are those whose ids have the least hashes."""
     in_batches(docs.sparkSession)
     free = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-    free = free.select("doc_id", F.lit(-1).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
+    free = free.select("doc_id", F.lit(-1).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     some = docs.select("doc_id", *_COLUMNS)
     known = sample(some, labels, labelled)
-    rows = known.select("doc_id", *_COLUMNS, F.col("_label").cast("int")).union(sample(some, free, pool).select("doc_id", *_COLUMNS, F.col("_label").cast("int")))
+    rows = known.select("doc_id", *_COLUMNS, F.col("_label").cast("int")).union(some.join(F.broadcast(free), "doc_id").select("doc_id", *_COLUMNS, F.col("_label").cast("int")))
 
     def run(batches):
         for b in pieces(batches):

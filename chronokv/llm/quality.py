@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, column, in_batches, mix, pieces, windows
+from .common import U64, Words, column, in_batches, mix, pieces, windows, written
 
 #: Labelled documents that training reads at most.
 TRAIN_DOCS = 1000
@@ -194,13 +194,18 @@ class LineField:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Rows of ``docs`` with ``_label``, for at most ``most`` labelled ids: those of the least hashes, so that every run takes the same.
+    """Rows of ``docs`` with ``_label``, for at most ``most`` labelled ids that ``docs`` has: those of the least hashes, so that every run takes the same.
 
+    Good and poor ids are drawn each for themselves, in their shares; the rarer kind gets a hundredth of the places at least, if it has so many.
     An id with several labels has the least; null ids and labels are left out.  The chosen ids are few, so they are sent to all tasks.
     """
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_label"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id")
+    one = written(one.join(docs.select("doc_id").hint("merge"), "doc_id", "left_semi"), "labelled")
+    n = {r["good"]: r["count"] for r in one.groupBy((F.col("_label") > 0).alias("good")).count().collect()}
+    rare = min((True, False), key=lambda k: n.get(k, 0))
+    few = min(n.get(rare, 0), max(most * n.get(rare, 0) // max(sum(n.values()), 1), most // 100))
+    draw = lambda good, k: one.where((F.col("_label") > 0) == F.lit(good)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
+    return docs.join(F.broadcast(draw(rare, few).union(draw(not rare, most - few))), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, text: str = "text") -> LineField:

@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronokv.llm import bpe, cotrain, licenses, media, packing, quality, registry, sharding, simhash, substrings, wordpiece
@@ -125,6 +126,16 @@ def test_models_without_labels(spark, docs, empty):
     assert cotrain.keep(docs, cotrain.CoTrained(None, None)).count() == docs.count()
 
 
+def test_labels_without_documents_take_no_places(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = spark.range(40_000).selectExpr("id * 50 as doc_id", "int(id > 0) as quality")
+    got = {r.doc_id: r._label for r in quality.sample(docs, labels, 100).collect()}
+    assert got == {i: int(i > 0) for i in range(0, 2000, 50)}
+    labels = docs.selectExpr("doc_id", "int(doc_id >= 3) as quality")
+    got = [r._label for r in quality.sample(docs, labels, 200).collect()]
+    assert len(got) == 200 and got.count(0) == 2
+
+
 def test_co_training_helps_the_weak_view():
     r = np.random.default_rng(1)
     y = r.integers(0, 2, 1200)
