@@ -376,6 +376,18 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
     return both.mapInArrow(check, "a long, b long")
 
 
+def _shared(spread: DataFrame) -> DataFrame:
+    """Rows of ``spread`` (rep, n, p) whose print has several holders; of prints with the same holders one stays, as they give the same pairs.
+
+    Holders are told apart by their number and 64 bits of hash sums.  Rows are dealt out by print once, and both sides of the join read that.
+    """
+    dealt = spread.repartition(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p")
+    low = F.xxhash64("rep").bitwiseAND(F.lit(0xFFFFFFFF))
+    held = dealt.groupBy("p").agg(F.count("*").alias("c"), F.sum(low).alias("s"), F.sum(F.shiftrightunsigned(F.xxhash64("rep"), 32)).alias("t"), F.max("n").alias("n"))
+    one = held.where("c > 1").groupBy("c", "s", "t", "n").agg(F.min("p").alias("p")).select("p")
+    return dealt.join(one.hint("merge"), "p", "left_semi").select("p", "rep", "n")
+
+
 #: Pivots of a print grow by this factor from round to round.
 PIVOTS = 4
 
@@ -412,11 +424,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text"))
     rows = written(prefixes(named, shingle, similarity), "prefixes")
     sets = ["set_a", "set_b"]
-    classes = written(rows.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prints").alias("prints")), "classes")
-    reps = written(rows.join(classes.select(*sets, "rep"), sets).select("doc_id", "rep", "bits"), "reps")
-    spread = classes.select("rep", "n", F.explode(F.array_distinct("prints")).alias("p"))
-    several = spread.groupBy("p").agg(F.count("*").alias("c")).where("c > 1").select("p")
-    near, spread = _round(spread.join(several.hint("merge"), "p", "left_semi").select("p", "rep", "n"), None, 1, similarity)
+    classes = written(rows.groupBy(*sets).agg(F.min("doc_id").alias("rep")), "classes")
+    ranked = rows.join(classes.hint("merge"), sets)
+    reps = written(ranked.select("doc_id", "rep", "bits"), "reps")
+    near, spread = _round(_shared(ranked.where("doc_id = rep").select("rep", "n", F.explode("prints").alias("p"))), None, 1, similarity)
     if most:
         # A fingerprint is known by its least document; those of other sets with the same one are compared with it.
         codes = written(reps.groupBy("bits").agg(F.min("rep").alias("least")), "codes")
