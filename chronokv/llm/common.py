@@ -8,42 +8,23 @@ with numpy, without building a Python object per word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..functions.tables import shared_dir, written  # noqa: F401  the operators take them from here
 
 U64 = np.uint64
 #: Bytes of text whose scratch arrays a worker holds at once.
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch between the JVM and a worker.
 BATCH_ROWS = 512
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="chronokv-"))
-    return _own_dir[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_batches(spark: SparkSession) -> None:
@@ -70,6 +51,23 @@ def pieces(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa
             at = end
 
 
+def larger(batches, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches joined to ones of about ``rows`` rows: for narrow rows, whose small batches would cost more than the work on them."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield joined(held)
+            held, n = [], 0
+    if n:
+        yield joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -81,24 +79,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+#: The prime 2**61 - 1, and a base of windows' hashes modulo it.
+PRIME = (1 << 61) - 1
+BASE = 0x1D8AF066B1F2D3C9
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base modulo 2**64, and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        out = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, b, U64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U64))
-        _powers[:] = out
-    return _powers[0], _powers[1]
+def times(x: np.ndarray, c: int) -> np.ndarray:
+    """x * c modulo ``PRIME``, for x and c below it: products of 31-bit halves fit 64 bits."""
+    low, half = U64((1 << 31) - 1), U64(31)
+    c1, c0 = U64(c >> 31), U64(c & ((1 << 31) - 1))
+    x1, x0 = x >> half, x & low
+    mid = x1 * c0 + x0 * c1
+    total = (x1 * c1 << U64(1)) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << half) + x0 * c0
+    return _reduced((total & U64(PRIME)) + (total >> U64(61)))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo ``PRIME``, for x below twice it."""
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,18 +146,35 @@ class Words:
         self.n = np.bincount(self.doc, minlength=self.docs).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]) if self.docs else np.zeros(0, np.int64)
 
-    def sums(self) -> np.ndarray:
-        """Prefix sums from which :meth:`spans` reads the polynomial hash of any byte range."""
-        p, _ = powers(len(self.raw) + 1)
-        out = np.zeros(len(self.raw) + 1, U64)
-        np.cumsum(_BYTE[self.raw] * p[: len(self.raw)], out=out[1:], dtype=U64)
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word; equal bytes, equal hashes.
+
+        Eight bytes at a time go through splitmix64's steps, for all words at once, which leaves no structure by which
+        texts of few letters would meet; long words get XXH64 of their bytes.
+        """
+        size = self.end - self.start
+        out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15))
+        if not len(size):
+            return out
+        padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded, (len(self.raw), 8), (1, 1))
+        at, left, live = self.start, size, np.arange(len(size))
+        long = np.flatnonzero(size > LONG_WORD)
+        if len(long):
+            live = np.flatnonzero(size <= LONG_WORD)
+            at, left = at[live], left[live]
+        while len(live):
+            chunk = np.ascontiguousarray(eight[at]).view("<u8").ravel()
+            short = left < 8
+            if short.any():
+                chunk[short] &= (U64(1) << (left[short].astype(U64) * U64(8))) - U64(1)
+            out[live] = mix((out[live] ^ chunk) * U64(0xFF51AFD7ED558CCD) + U64(0x9E3779B97F4A7C15))
+            more = left > 8
+            at, left, live = at[more] + 8, left[more] - 8, live[more]
+        for i in long.tolist():
+            out[i] = xxhash.xxh64_intdigest(self.raw[self.start[i] : self.end[i]].tobytes(), 42)
         return out
 
-    def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges; equal bytes, equal hashes."""
-        _, inverse = powers(len(self.raw) + 1)
-        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
-
     def per_doc(self, marks: np.ndarray) -> np.ndarray:
         """How many bytes of each text are marked."""
         total = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
@@ -163,17 +182,80 @@ class Words:
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rabin-Karp hashes of every k consecutive words of one text, and the index of each one's first word."""
+    """Rabin-Karp hashes of every k consecutive words of one text, and the index of each one's first word.
+
+    The polynomial of the words' hashes (their low 61 bits) is taken modulo the prime 2**61 - 1; windows of 2n words come from two of n.
+    """
     m = len(hashes) - k + 1
     if m <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     at = np.flatnonzero(doc[:m] == doc[k - 1 :])
-    rolling = np.zeros(m, U64)
-    for j in range(k):
-        rolling = rolling * U64(_BASE) + hashes[j : j + m]
+    one = _reduced(hashes & U64(PRIME))
+    rolling, n = one, 1
+    for bit in bin(k)[3:]:
+        size = len(rolling) - n
+        rolling = _reduced(times(rolling[:size], pow(BASE, n, PRIME)) + rolling[n : n + size])
+        n *= 2
+        if bit == "1":
+            size = len(rolling) - 1
+            rolling = _reduced(times(rolling[:size], BASE) + one[n : n + size])
+            n += 1
     return mix(rolling[at] + U64(k)), at
 
 
+#: Slots of a screen, as a power of two: it takes 2**17 rows of 16 bytes at most, whatever it screens.
+SCREEN_BITS = 23
+
+
+def screened(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` may be among those of ``ids``, and rows whose key surely isn't, or is null.
+
+    The screen has a bit for each slot of a hash that some id falls into, and a fixed greatest size, so all tasks get it.  Of a large ``df`` only the
+    first part then has to be shuffled to meet ``ids``; where ids are very many, that is most of it.
+    """
+    name = "_screen"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    def slot(k: str) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(F.col(k).cast("long")), F.lit(1 << SCREEN_BITS))
+        return F.shiftright(at, 6).cast("int"), at.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = slot(key)
+    marks = ids.select(word.alias(f"{name}w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("m")).groupBy(f"{name}w").agg(F.bit_or("m").alias(f"{name}m"))
+    marks = F.broadcast(written(marks, "screen"))
+    there = F.call_function("shiftrightunsigned", F.coalesce(F.col(f"{name}m"), F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1)) == 1
+    hit = F.col(key).isNotNull() & there
+    both = df.join(marks, word == F.col(f"{name}w"), "left")
+    return both.where(hit).select(*df.columns), both.where(~hit).select(*df.columns)
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose ``key`` isn't among those of ``ids``, a written table; null keys stay.  Only rows that :func:`screened` can't tell are shuffled."""
+    maybe, surely = screened(df, ids, key)
+    return surely.union(maybe.join(ids.hint("merge"), key, "left_anti").select(*df.columns))
+
+
+def settle(root: np.ndarray) -> np.ndarray:
+    """Pointers followed to their ends."""
+    while True:
+        up = root[root]
+        if (up == root).all():
+            return root
+        root = up
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Settled pointers to the least member after the links (a, b) are added."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        root = settle(root)
+
+
 def gapless(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """A rank from 0 without gaps within each group, as column ``out``; no group is sorted by one task.
 

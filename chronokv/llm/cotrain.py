@@ -38,7 +38,7 @@ def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     w = Words(column(batch, "text"))
     n = np.maximum(w.n, 1).astype(np.float64)
     size = np.maximum(np.diff(w.bounds), 1).astype(np.float64)
-    hashes = w.spans(w.sums(), w.start, w.end)
+    hashes = w.hashes()
     count = lambda marks: w.per_doc(marks).astype(np.float64)
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (w.doc[1:] == w.doc[:-1])

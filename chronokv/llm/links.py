@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column, larger, settle, unite, written
+
+#: Links that a task contracts at once.
+CHUNK = 1 << 18
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and root, its component's least node, for every node that has a link.
 
-    ``links`` has columns a and b of one sortable type; loops, repeated links and nulls are ignored.
-    Every round groups by node with a partial minimum before the shuffle, so a node with very many
-    links costs one row a task; rounds are about the logarithm of the longest path.  Each round is a
-    written table, from which lost executors' work is resumed.
+    ``links`` has columns a and b of one sortable type; loops, repeated links and nulls are ignored; no links give no rows.
+    Each round first contracts chunks of links within tasks, where ids are integers, so few rounds are left for the stars; a node
+    with very many links costs a partial minimum for each task, and as the minima are a written table, the join with them is one that
+    Spark splits where a node's links are too many for one task.  Each round is a written table, from which lost executors' work is resumed.
     """
+    plain = links.schema["a"].dataType.simpleString() in ("bigint", "int")
     edges = written(_ordered(links), "links")
     seen = None
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
+        if plain:
+            edges = edges.mapInArrow(_contracted, edges.schema)
         # Large star: each node's greater neighbours go to the least of its neighbourhood.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
         # Small star: of each node's lesser neighbours, all go to the least, and so does the node.
-        pairs = _ordered(large)
-        low = pairs.groupBy("b").agg(F.min("a").alias("m"))
+        pairs = written(_ordered(large), "links")
+        low = written(pairs.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = pairs.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b"))
         edges = written(_ordered(small), "links")
         # At the end every node hangs on its root alone: the sum over links no longer changes.
@@ -37,5 +45,16 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def _contracted(batches):
+    """Each chunk's links as stars around the least nodes of its own components."""
+    for b in larger(batches, CHUNK):
+        ends = np.stack([np.asarray(column(b, c)) for c in ("a", "b")])
+        nodes, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(ends.shape)
+        root = settle(unite(np.arange(len(nodes)), at[0], at[1]))
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[root[moved]], b.schema.field("a").type), pa.array(nodes[moved], b.schema.field("b").type)], ["a", "b"])
+
+
 def _ordered(links: DataFrame) -> DataFrame:
     return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

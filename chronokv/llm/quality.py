@@ -1,8 +1,9 @@
 """Quality rules: counts over each text, and a line model that tells content from boilerplate.
 
 A linear-chain conditional random field labels the lines that have a word; Viterbi decoding finds the best sequence and
-the share of words in content lines decides.  The field is trained here, on lines of a bounded
-sample of labelled documents: a line carries its document's label.
+the share of words in content lines decides.  The field is trained here, on lines of a bounded sample of labelled documents.  Labels
+belong to documents, so lines get theirs by expectation and maximisation: a model of single lines, then the field itself, says
+which lines are content, under the constraint that a document's label holds for more than half of its words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import U64, Words, column, in_batches, mix, pieces, windows, writte
 TRAIN_DOCS = 1000
 #: Share of a text's words that must stand in content lines.
 CONTENT_SHARE = 0.5
+#: Rounds in which the field's own labels become its targets, and the share of switches of each kind that is taken as seen.
+EM_ROUNDS, SWITCHES = 3, 0.01
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
 FEATURES = 24
@@ -49,14 +52,18 @@ class Lines:
         self.end = np.concatenate([bounds[1:], feed])[np.lexsort((np.concatenate([bounds[1:], feed]), doc))]
         line_of = np.searchsorted(self.start, w.start, side="right") - 1
         count = np.bincount(line_of, minlength=len(self.start))
-        sums = w.sums()
-        self.hash = w.spans(sums, w.start, w.end)
+        self.hash = w.hashes()
         #: Only lines with a word count from here on.
         some = np.flatnonzero(count)
         self.doc, self.start, self.end, self.count = self.doc[some], self.start[some], self.end[some], count[some]
-        whole = mix(w.spans(sums, self.start, self.end) + self.doc.astype(U64) * U64(0x9E3779B97F4A7C15))
-        _, first, back = np.unique(whole, return_index=True, return_inverse=True)
-        self.again = first[back] != np.arange(len(whole))
+        flat = raw.tobytes()
+        seen: set[tuple[int, bytes]] = set()
+        self.again = np.zeros(len(some), bool)
+        for i, (d, a, b) in enumerate(zip(self.doc.tolist(), self.start.tolist(), self.end.tolist(), strict=True)):
+            line = (d, flat[a:b])
+            if line in seen:
+                self.again[i] = True
+            seen.add(line)
         self.n = np.bincount(self.doc, minlength=w.docs)
         self.first_word = np.concatenate([[0], np.cumsum(self.count)[:-1]]) if len(some) else some
 
@@ -153,46 +160,106 @@ class LineField:
         return label
 
     @staticmethod
-    def trained(docs: list[tuple[np.ndarray, int]], steps: int = 80, rate: float = 0.3, decay: float = 1e-3) -> LineField:
-        """Fit by gradient ascent on the mean log-likelihood of documents, each its lines' features and one label for all of them."""
+    def trained(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = EM_ROUNDS) -> LineField:
+        """Fit on documents, each its lines' features, their words and one label for all of them.
+
+        The lines' first targets come from a model of single lines that knows the documents' labels alone; from then on the field's best
+        sequences are the targets, so it learns from switches between content and boilerplate within documents.
+        """
         docs = sorted((d for d in docs if len(d[0])), key=lambda d: -len(d[0]))
-        if len({label for _, label in docs}) < 2:
+        if len({label for *_, label in docs}) < 2:
             return LineField.neutral()
-        n = np.array([len(x) for x, _ in docs])
-        y = np.array([label for _, label in docs])
-        x = np.concatenate([x for x, _ in docs]).astype(np.float64)
+        n = np.array([len(x) for x, *_ in docs])
+        x = np.concatenate([x for x, *_ in docs]).astype(np.float64)
+        words = np.concatenate([w for _, w, _ in docs]).astype(np.int64)
+        label = np.array([label for *_, label in docs])
+        doc = np.repeat(np.arange(len(n)), n)
+        alone = _lines_alone(x, label[doc], doc, n)
+        target = _constrained(alone, words, doc, label)
+        for _ in range(rounds):
+            field = LineField._fitted(x, n, target)
+            target = _constrained(field.margins(x, n), words, doc, label)
+        return field
+
+    def margins(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log-odds of content of each line, given all lines of its document; ``n`` doesn't ascend."""
+        both = np.add(*self._passes(x, n))
+        return both[:, CONTENT] - both[:, BOILERPLATE]
+
+    def _passes(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward log-sums of each line and label."""
+        score = x @ self.emit
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         live = np.searchsorted(-n, -np.arange(n[0]), side="left").tolist()
+        ahead, back = np.zeros((len(x), 2)), np.zeros((len(x), 2))
+        for t, k in enumerate(live):
+            at = first[:k] + t
+            ahead[at] = score[at] + (np.logaddexp.reduce(ahead[at - 1][:, :, None] + self.move, axis=1) if t else self.begin)
+        for t in range(len(live) - 2, -1, -1):
+            at = first[: live[t + 1]] + t
+            back[at] = np.logaddexp.reduce(self.move + (score[at + 1] + back[at + 1])[:, None, :], axis=2)
+        return ahead, back
+
+    @staticmethod
+    def _fitted(x: np.ndarray, n: np.ndarray, target: np.ndarray, steps: int = 80, rate: float = 0.3, decay: float = 1e-3) -> LineField:
+        """Gradient ascent on the mean log-likelihood of the lines' targets; ``n`` doesn't ascend."""
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
         total = n.sum()
-        truth = np.repeat(np.eye(2)[y], n, axis=0)
-        pairs = np.zeros((2, 2))
-        np.add.at(pairs, (y, y), n - 1)
-        starts = np.bincount(y, minlength=2).astype(float)
+        truth = np.eye(2)[target]
+        inner = np.ones(total, bool)
+        inner[first] = False
+        to = np.flatnonzero(inner)
+        # A few switches of each kind are taken as seen, so that a sample without any doesn't rule them out.
+        pairs = np.full((2, 2), SWITCHES * max(len(to), 1))
+        np.add.at(pairs, (target[to - 1], target[to]), 1)
+        seen = pairs.sum()
+        starts = np.bincount(target[first], minlength=2).astype(float)
         field = LineField(np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
         speed = [np.zeros_like(p) for p in (field.emit, field.move, field.begin)]
         for _ in range(steps):
             score = x @ field.emit
-            ahead, back = np.zeros((total, 2)), np.zeros((total, 2))
-            for t, k in enumerate(live):
-                at = first[:k] + t
-                ahead[at] = score[at] + (np.logaddexp.reduce(ahead[at - 1][:, :, None] + field.move, axis=1) if t else field.begin)
-            for t in range(len(live) - 2, -1, -1):
-                at = first[: live[t + 1]] + t
-                back[at] = np.logaddexp.reduce(field.move + (score[at + 1] + back[at + 1])[:, None, :], axis=2)
+            ahead, back = field._passes(x, n)
             both = ahead + back
             norm = np.logaddexp.reduce(both, axis=1, keepdims=True)
             belief = np.exp(both - norm)
-            inner = np.ones(total, bool)
-            inner[first] = False
-            to = np.flatnonzero(inner)
             pair = np.exp(ahead[to - 1][:, :, None] + field.move + (score[to] + back[to])[:, None, :] - norm[to][:, :, None]).sum(axis=0)
-            slopes = (x.T @ (truth - belief) / total, (pairs - pair) / total, (starts - belief[first].sum(axis=0)) / len(n))
+            slopes = (x.T @ (truth - belief) / total, (pairs * (len(to) / seen) - pair) / total, (starts - belief[first].sum(axis=0)) / len(n))
             for i, (p, g) in enumerate(zip((field.emit, field.move, field.begin), slopes, strict=True)):
                 speed[i] = 0.9 * speed[i] + g - decay * p
                 p += rate * speed[i]
         return field
 
 
+def _lines_alone(x: np.ndarray, label: np.ndarray, doc: np.ndarray, n: np.ndarray, steps: int = 200, decay: float = 1e-3) -> np.ndarray:
+    """Log-odds of content of each line by itself: logistic regression on the documents' labels, in which every document weighs the same."""
+    weight = 1.0 / n[doc]
+    weight /= weight.sum()
+    rate = 4 / (weight @ np.square(x).sum(1) + decay)
+    w = ahead = np.zeros(x.shape[1])
+    for t in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -40, 40)))
+        new = ahead + rate * (x.T @ (weight * (label - p)) - decay * ahead)
+        w, ahead = new, new + t / (t + 3) * (new - w)
+    return x @ w
+
+
+def _constrained(odds: np.ndarray, words: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The likelier label of each line, changed where needed so that over half of a document's words bear its label.
+
+    Of a document that breaks the rule, lines of the best odds for its label take it, as many as it needs.
+    """
+    out = (odds >= 0).astype(np.int64)
+    own = label[doc]
+    total = np.bincount(doc, weights=words, minlength=len(label))
+    by = np.lexsort((np.where(own == CONTENT, -odds, odds), doc))
+    before = np.cumsum(words[by]) - words[by]
+    base = np.concatenate([[0], np.cumsum(total)[:-1]])
+    # Lines in this order take the label until over half of the words have it.
+    needed = 2 * (before - base[doc[by]]) <= total[doc[by]]
+    out[by[needed]] = own[by[needed]]
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """Rows of ``docs`` with ``_label``, for at most ``most`` labelled ids that ``docs`` has: those of the least hashes, so that every run takes the same.
 
@@ -216,12 +283,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, text: str
     def run(batches):
         for b in pieces(batches):
             lines = Lines(column(b, "text"))
-            parts = np.split(lines.features(), np.cumsum(lines.n)[:-1])
+            x = np.concatenate([lines.features(), lines.count[:, None].astype(np.float32)], axis=1)
+            parts = np.split(x, np.cumsum(lines.n)[:-1])
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "_label").cast(pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "label", "lines"])
 
     found = rows.mapInArrow(run, "doc_id long, label int, lines binary").groupBy("doc_id").agg(F.min(F.struct("label", "lines")).alias("r"))
     data = sorted((r["doc_id"], r["r"]["label"], bytes(r["r"]["lines"])) for r in found.collect())
-    return LineField.trained([(np.frombuffer(x, np.float32).reshape(-1, FEATURES), int(label > 0)) for _, label, x in data])
+    tables = [(np.frombuffer(x, np.float32).reshape(-1, FEATURES + 1), int(label > 0)) for _, label, x in data]
+    return LineField.trained([(x[:, :FEATURES], x[:, FEATURES], label) for x, label in tables])
 
 
 def verdicts(text: pa.Array, field: LineField, share: float = CONTENT_SHARE) -> dict[str, np.ndarray]:
@@ -257,7 +326,10 @@ def judged(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
 
 
 def keep(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judged` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`judged` keeps, with all their columns; its docstring says what odd rows give.
+
+    Rows with a null or empty text go; null ids, repeated rows and nulls in other columns don't matter; an empty table stays empty.
+    """
     in_batches(docs.sparkSession)
 
     def run(batches):

@@ -1,11 +1,10 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints that differ in at most d of 64 bits agree in one of d + 1 blocks.  So there are d + 1 indexes,
-each over fingerprints rotated to bring its block to the front.  In an index fingerprints stand
-in the order of their Gray rank, in which neighbours share leading bits and differ in few others.  Groups of neighbours
-are leaves; a node above holds the bits that all below it share, as a mask and a pattern,
-and those bits are compared once: what they differ by is carried down, and a group whose carried
-differences pass d is left out whole.
+All distinct fingerprints stand in one order, that of their Gray rank, in which neighbours share leading bits and differ in few
+others.  The order is dealt out in parts.  A part is a tree: groups of neighbours are leaves; a node above holds the bits that all
+below it share, as a mask and a pattern, and those bits are compared once: what they differ by is carried down, and a
+group whose carried differences pass the limit is left out whole.  The parts' own masks and patterns are the leaves of an upper tree, small enough
+for every task, by which a fingerprint finds the parts that may hold near ones.
 """
 
 from __future__ import annotations
@@ -16,16 +15,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, column, in_batches, mix, pieces, windows, written
+from .common import U64, Words, column, in_batches, larger, pieces, unite, written
 from .links import components
 
 BITS = 64
 #: Fingerprints in a leaf, and children of a node.
 LEAF, FAN = 16, 8
-#: An index entry with more fingerprints than this is dealt anew by a second block.
-ENTRY_ROWS = 20_000
-#: Queries that descend the tree together.
-BLOCK = 1024
+#: Fingerprints of a part, and the least and most parts.  Beyond the most, parts grow; every task holds the upper tree of this many leaves at most.
+PART_CODES, LEAST_PARTS, MOST_PARTS = 1 << 15, 32, 4096
+#: Fingerprints that one task asks of a part: a part with more askers is copied to several tasks.
+ASKERS = 1 << 17
+#: Queries that descend a tree together.
+BLOCK = 512
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 
@@ -43,13 +44,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", fold: bo
 
     def run(batches):
         for b in pieces(batches):
-            codes = _simhashes(Words(column(b, "text")), shingle, fold)
+            codes = fingerprint_bits(Words(column(b, "text")), shingle, fold)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(codes.view(np.int64))], ["doc_id", "bits"])
 
     return d.mapInArrow(run, f"doc_id {key}, bits long")
 
 
-def _simhashes(w: Words, shingle: int, fold: bool) -> np.ndarray:
+def fingerprint_bits(w: Words, shingle: int, fold: bool) -> np.ndarray:
     """The SimHash of each text of a slice."""
     digest = xxhash.xxh64_intdigest
     size = w.end - w.start
@@ -94,141 +95,173 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
     return x
 
 
-class GrayIndex:
-    """Tree of masked patterns over distinct fingerprints in Gray order."""
+class MaskTree:
+    """Nodes of shared bits over groups of fingerprints in Gray order; a group is given by the AND and the OR of its members."""
 
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes = codes[self.order]
-        #: From the leaves up: mask of shared bits, their pattern.
+    def __init__(self, every: np.ndarray, some: np.ndarray):
+        #: From the lowest groups up: mask of shared bits, their pattern.
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        every, some = self._shared(self.codes, self.codes, LEAF)
+        #: Groups that queries have met, and those of them that were left out whole.
+        self.met = self.pruned = 0
         while True:
             mask = ~(every ^ some)
             self.levels.append((mask, every & mask))
-            if len(mask) == 1:
+            if len(mask) <= 1:
                 break
-            every, some = self._shared(every, some, FAN)
-
-    @staticmethod
-    def _shared(every: np.ndarray, some: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(0, len(every), step)
-        return np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
+            every, some = shared_bits(every, some, FAN)
 
-    def near(self, queries: np.ndarray, most: int):
-        """Batches of (query, position) whose fingerprints differ in at most ``most`` bits; positions are those of the input."""
+    def descend(self, queries: np.ndarray, most: int):
+        """Batches of (query, lowest group, differences so far, bits compared so far) for the groups that may have members within ``most`` bits."""
+        if not len(self.levels[0][0]):
+            return
         for lo in range(0, len(queries), BLOCK):
             q = np.arange(lo, min(lo + BLOCK, len(queries)))
             node = np.zeros(len(q), np.int64)
             carried = np.zeros(len(q), np.int64)
-            above = np.zeros(len(q), U64)  # bits that are compared already
+            above = np.zeros(len(q), U64)
             for depth in range(len(self.levels) - 1, -1, -1):
                 mask, pattern = self.levels[depth]
                 new = mask[node] & ~above
                 carried = carried + np.bitwise_count((queries[q] ^ pattern[node]) & new)
                 ok = carried <= most
+                self.met += len(ok)
+                self.pruned += len(ok) - int(ok.sum())
                 q, node, carried, above = q[ok], node[ok], carried[ok], mask[node[ok]]
-                below, step = (len(self.levels[depth - 1][0]), FAN) if depth else (len(self.codes), LEAF)
-                child = (node[:, None] * step + np.arange(step)).ravel()
-                there = child < below
-                q, carried, above = (np.repeat(x, step)[there] for x in (q, carried, above))
-                node = child[there]
-            hit = carried + np.bitwise_count((queries[q] ^ self.codes[node]) & ~above) <= most
-            yield q[hit], self.order[node[hit]]
+                if depth:
+                    child = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                    there = child < len(self.levels[depth - 1][0])
+                    q, carried, above = (np.repeat(x, FAN)[there] for x in (q, carried, above))
+                    node = child[there]
+            yield q, node, carried, above
 
 
-def spanning(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of positions that join whatever chains of near fingerprints join; fewer than there are codes."""
-    root = np.arange(len(codes))
+def shared_bits(every: np.ndarray, some: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """AND and OR of each ``step`` neighbours."""
+    at = np.arange(0, len(every), step)
+    return (np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)) if len(every) else (every, some)
 
-    def settle(x: np.ndarray) -> np.ndarray:
-        while True:
-            up = x[x]
-            if (up == x).all():
-                return x
-            x = up
 
-    for a, b in GrayIndex(codes).near(codes, most):
-        while True:
-            ra, rb = root[a], root[b]
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            root = settle(root)
-    moved = np.flatnonzero(root != np.arange(len(codes)))
-    return root[moved], moved
+class GrayIndex(MaskTree):
+    """A tree over distinct fingerprints, with ``LEAF`` neighbours in Gray order to a leaf."""
+
+    def __init__(self, codes: np.ndarray):
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.codes = codes[self.order]
+        super().__init__(*shared_bits(self.codes, self.codes, LEAF))
+
+    def near(self, queries: np.ndarray, most: int):
+        """Batches of (query, position) whose fingerprints differ in at most ``most`` bits; positions are those of the input."""
+        for q, node, carried, above in self.descend(queries, most):
+            child = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
+            there = child < len(self.codes)
+            q, carried, above = (np.repeat(x, LEAF)[there] for x in (q, carried, above))
+            at = child[there]
+            hit = carried + np.bitwise_count((queries[q] ^ self.codes[at]) & ~above) <= most
+            yield q[hit], self.order[at[hit]]
 
 
-def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
-    edge = [bits * i // parts for i in range(parts + 1)]
-    return [(edge[i], edge[i + 1] - edge[i]) for i in range(parts)]
+def spanning(members: np.ndarray, askers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints, fewer than there are, that join what chains of near ones join: every asker is compared with every member."""
+    nodes = np.concatenate([members, askers])
+    root = np.arange(len(nodes))
 
+    for q, b in GrayIndex(members).near(askers, most):
+        root = unite(root, q + len(members), b)
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[moved]], nodes[moved]
 
-def near_links(codes: DataFrame, most: int = 2, entry_rows: int = ENTRY_ROWS) -> DataFrame:
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers as signed ones in the same order."""
+    return (x ^ U64(1 << 63)).view(np.int64)
+
+
+def near_links(codes: DataFrame, most: int = 2, part_codes: int = PART_CODES, askers: int = ASKERS) -> DataFrame:
     """Links a, b that connect exactly the distinct ``bits`` of ``codes`` that chains of at most ``most`` differing bits connect.
 
-    An entry of an index is a block and its value.  An entry with more than ``entry_rows`` fingerprints
-    is dealt anew: its members agree in the block, so near ones also agree in one of ``most`` + 1 parts of
-    the other bits.  ``codes`` is read twice: give a written table of distinct, non-null bits.
+    Bounds of about equal parts of the Gray order come from quantiles; parts may be uneven, no fingerprint is left out.  Each
+    fingerprint is a member of its own part and asks there and in every later part that the upper tree doesn't rule out, so each pair is compared
+    once.  ``codes`` is read several times: give a written table of distinct, non-null bits.
     """
+    spark = codes.sparkSession
     if most == 0:  # distinct codes all differ
-        return codes.sparkSession.createDataFrame([], "a long, b long")
-
-    def part(lo: int, n: int):
-        return F.shiftrightunsigned("bits", lo).bitwiseAND(F.lit((1 << n) - 1))
-
-    blocks = _blocks(BITS, most + 1)
-    entry = F.array(*[F.struct(F.lit(i).alias("block"), part(lo, n).alias("value")) for i, (lo, n) in enumerate(blocks)])
-    entries = codes.select("bits", F.explode(entry).alias("e")).select("bits", "e.block", "e.value")
-    size = entries.groupBy("block", "value").count()
-    small = size.where((F.col("count") > 1) & (F.col("count") <= entry_rows))
-    large = size.where(F.col("count") > entry_rows)
-    # Other bits of a large entry, rotated to the front, in most + 1 parts.
-    subs = []
-    for i, (lo, n) in enumerate(blocks):
-        rest = [p for p in range(BITS) if not lo <= p < lo + n]
-        for j, (slo, sn) in enumerate(_blocks(len(rest), most + 1)):
-            positions = rest[slo : slo + sn]
-            mask = sum(1 << p for p in positions)
-            subs.append(F.struct(F.lit(i).alias("of"), F.lit(j).alias("sub"), F.col("bits").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("sub_value")))
-    one = entries.join(small, ["block", "value"], "left_semi").select("bits", "block", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("sub_value"))
-    many = entries.join(large, ["block", "value"], "left_semi").select("bits", "block", "value", F.explode(F.filter(F.array(*subs), lambda s: s["of"] == F.col("block"))).alias("s"))
-    keys = ["block", "value", "sub", "sub_value"]
-    dealt = one.union(many.select("bits", "block", "value", "s.sub", "s.sub_value"))
-    dealt = dealt.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+        return spark.createDataFrame([], "a long, b long")
+
+    def ranks(batches):
+        for b in larger(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(gray_rank(np.asarray(column(b, "bits")).view(U64))))], ["rank"])
+
+    ranked = codes.select("bits").mapInArrow(ranks, "rank long")
+    count = codes.count()
+    parts = min(max(LEAST_PARTS, -(-count // part_codes)), MOST_PARTS)
+    found = ranked.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    bounds = np.unique(np.array(found or [], np.int64))
+
+    def part_of(code: np.ndarray) -> np.ndarray:
+        return np.searchsorted(bounds, _signed(gray_rank(code)), side="left")
+
+    def groups(batches):
+        for b in larger(batches):
+            code = np.asarray(column(b, "bits")).view(U64)
+            part = part_of(code)
+            by = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.diff(part[by], prepend=-1))
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array(part[by][first]), *(pa.array(f.reduceat(code[by], first).view(np.int64)) for f in (np.bitwise_and, np.bitwise_or))], ["part", "every", "some"])
+
+    nodes = codes.select("bits").mapInArrow(groups, "part long, every long, some long").groupBy("part").agg(F.bit_and("every").alias("every"), F.bit_or("some").alias("some"))
+    rows = sorted(tuple(r) for r in nodes.collect())
+    number, every, some = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+
+    def route(batches):
+        tree = MaskTree(every.view(U64), some.view(U64))
+        for b in larger(batches):
+            code = np.asarray(column(b, "bits")).view(U64)
+            own = part_of(code)
+            yield _sent(own, 0, code)
+            found = [(q, number[node]) for q, node, _, _ in tree.descend(code, most)]
+            q, part = (np.concatenate(x) for x in zip(*found, strict=True))
+            later = part >= own[q]
+            yield _sent(part[later], 1, code[q[later]])
+
+    sent = written(codes.select("bits").mapInArrow(route, "part long, kind int, bits long"), "routed")
+    asking = {r["part"]: -(-r["count"] // askers) for r in sent.where("kind = 1").groupBy("part").count().collect()}
+    hot = [F.lit(x) for p, n in asking.items() if n > 1 for x in (p, n)]
+    copies = F.coalesce(F.create_map(*hot)[F.col("part")], F.lit(1)) if hot else F.lit(1)
+    salt = F.when(F.col("kind") == 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array(F.pmod(F.xxhash64("bits"), copies).cast("int")))
+    keys = ["part", "salt"]
+    dealt = sent.select("part", F.explode(salt).alias("salt"), "kind", "bits")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "kind")
 
     def run(batches):
-        for b in _runs(batches, keys):
+        for b in runs(larger(batches), keys):
             code = np.asarray(column(b, "bits")).view(U64)
-            change = np.zeros(len(code), bool)
-            change[0] = True
-            for k in keys:
-                c = np.asarray(column(b, k))
-                change[1:] |= c[1:] != c[:-1]
-            first = np.flatnonzero(change)
-            size = np.diff(np.append(first, len(code)))
-            left, right = [], []
-            # Entries of two, all at once; larger ones by their tree.
-            two = first[size == 2]
-            near = np.bitwise_count(code[two] ^ code[two + 1]) <= most
-            left.append(code[two[near]])
-            right.append(code[two[near] + 1])
-            for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                turn = U64(sum(blocks[column(b, "block")[f].as_py()]))
-                own = code[f : f + n]
-                turned = (own >> turn) | (own << ((U64(64) - turn) & U64(63))) if turn < U64(64) else own
-                x, y = spanning(turned, most)
-                left.append(own[x])
-                right.append(own[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (left, right)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _runs(batches, keys):
-    """Sorted batches, cut so that no run of equal keys is in two; a run is as long as an entry at most."""
+            edge = changes(b, keys)
+            kind = np.asarray(column(b, "kind"))
+            for lo, hi in zip(edge, [*edge[1:], len(code)], strict=True):
+                middle = lo + int(np.searchsorted(kind[lo:hi], 1))
+                x, y = spanning(code[lo:middle], code[middle:hi], most)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (x, y)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").where("a != b").distinct()
+
+
+def _sent(part: np.ndarray, kind: int, code: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(np.full(len(part), kind, np.int32)), pa.array(code.view(np.int64))], ["part", "kind", "bits"])
+
+
+def changes(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Where a run of equal keys begins."""
+    change = np.zeros(batch.num_rows, bool)
+    change[:1] = True
+    for k in keys:
+        c = np.asarray(column(batch, k))
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change).tolist()
+
+
+def runs(batches, keys: list[str]):
+    """Sorted batches, cut so that no run of equal keys is in two; the longest run is held at once."""
     held = []
     for b in batches:
         if not b.num_rows:
@@ -265,204 +298,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, text: str
     rooted = least.join(roots, least["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("bits", "component_id")
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Documents, and shingles found in several of them, that say which shingles are common; they change the order of prints alone, not what is found.
-COMMON_DOCS, COMMON = 20_000, 200_000
-
-
-def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words, and the hashes and texts of each text's distinct shingles, in order of both; A-Z are folded.
-
-    A text of fewer words is one shingle; one without words has a shingle of its own kind.
-    """
-    w = Words(text)
-    w.raw = _UPPER[w.raw]
-    own = w.spans(w.sums(), w.start, w.end)
-    h, at = windows(own, w.doc, k)
-    doc = w.doc[at]
-    few = np.flatnonzero(w.n < k)
-    if len(few):
-        ends = w.first[few] + w.n[few] - 1
-        some = w.n[few] > 0
-        whole = np.full(len(few), 0x5EED, U64)
-        whole[some] = w.spans(w.sums(), w.start[w.first[few][some]], w.end[ends[some]])
-        h, doc = np.concatenate([h, whole]), np.concatenate([doc, few])
-    by = np.lexsort((h, doc))
-    h, doc = h[by], doc[by]
-    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-    return w, h[new], doc[new]
-
-
-def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of shingles that are in several of about ``COMMON_DOCS`` documents, and in how many."""
-    step = max(1, docs.count() // COMMON_DOCS)
-
-    def run(batches):
-        for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_sets(column(b, "text"), shingle)[1].view(np.int64))], ["h"])
-
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(run, "h long")
-    often = some.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    h, n = often["h"].to_numpy(np.int64).view(U64), often["count"].to_numpy(np.int64)
-    by = np.argsort(h)
-    return h[by], n[by]
-
-
-def prefixes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """doc_id, n (distinct shingles), set_a and set_b (equal for equal sets), ``prints``, and ``bits`` of :func:`fingerprints`.
-
-    All sets are put in one order of shingles, rare ones first.  Sets of at least this similarity share so many shingles that they share one
-    of the first n - ceil(similarity * n) + 1 of each, whatever the order and size; the hashes of these are the prints.
-    """
-    in_batches(docs.sparkSession)
-    d = docs.select("doc_id", docs[text].alias("text"))
-    key = d.schema["doc_id"].dataType.simpleString()
-    known, times = _common(d, shingle)
-
-    def run(batches):
-        for b in pieces(batches):
-            w, h, doc = _sets(column(b, "text"), shingle)
-            n = np.bincount(doc, minlength=w.docs)
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            set_a, set_b = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ U64(0xA5A5A5A5)), first)
-            count = np.zeros(len(h), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                count = np.where(known[at] == h, times[at], 0)
-            by = np.lexsort((h, count, doc))
-            size = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-            take = by[np.arange(len(h)) - np.repeat(first, n) < np.repeat(size, n)]
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[take].view(np.int64)))
-            bits = pa.array(_simhashes(w, 3, fold=False).view(np.int64))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), prints, bits], ["doc_id", "n", "set_a", "set_b", "prints", "bits"])
-
-    return d.mapInArrow(run, f"doc_id {key}, n long, set_a long, set_b long, prints array<long>, bits long")
-
-
-def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, text: str = "text") -> DataFrame:
-    """The pairs (``a``, ``b``: doc_ids) whose shingle sets have at least this Jaccard similarity, exactly.
-
-    Only documents that are in a pair have their sets built; a pair brings two sets together, whatever the other pairs of its documents.
-    Joins are by merging at any size: pairs and sets grow with the table, so a plan that sends them to all tasks would not last.
-    """
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text")).join(named.hint("merge"), "doc_id", "left_semi")
-
-    def build(batches):
-        for b in pieces(batches):
-            w, h, doc = _sets(column(b, "text"), shingle)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=w.docs))]) * 8
-            packed = pa.Array.from_buffers(pa.binary(), w.docs, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), packed], ["doc_id", "shingles"])
-
-    # Rows of one doc_id with several texts: one of them, always the same, stands for all.
-    sets = written(d.mapInArrow(build, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
-    first, second = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)).hint("merge") for k, v in (("a", "x"), ("b", "y")))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-
-    def check(batches):
-        for b in batches:
-            x, y = column(b, "x").to_pylist(), column(b, "y").to_pylist()
-            good = []
-            for s, t in zip(x, y, strict=True):
-                u, v = np.frombuffer(s, U64), np.frombuffer(t, U64)
-                every = np.sort(np.concatenate([u, v]), kind="stable")
-                common = int((every[1:] == every[:-1]).sum())
-                good.append(common >= similarity * (len(every) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(check, "a long, b long")
-
-
-def _shared(spread: DataFrame) -> DataFrame:
-    """Rows of ``spread`` (rep, n, p) whose print has several holders; of prints with the same holders one stays, as they give the same pairs.
-
-    Holders are told apart by their number and 64 bits of hash sums.  Rows are dealt out by print once, and both sides of the join read that.
-    """
-    dealt = spread.repartition(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p")
-    low = F.xxhash64("rep").bitwiseAND(F.lit(0xFFFFFFFF))
-    held = dealt.groupBy("p").agg(F.count("*").alias("c"), F.sum(low).alias("s"), F.sum(F.shiftrightunsigned(F.xxhash64("rep"), 32)).alias("t"), F.max("n").alias("n"))
-    one = held.where("c > 1").groupBy("c", "s", "t", "n").agg(F.min("p").alias("p")).select("p")
-    return dealt.join(one.hint("merge"), "p", "left_semi").select("p", "rep", "n")
-
-
-#: Pivots of a print grow by this factor from round to round.
-PIVOTS = 4
-
-
-def _round(spread: DataFrame, roots: DataFrame | None, pivots: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to test now, and the rows of ``spread`` (p, rep, n) that are left for later rounds.
-
-    Prints whose holders are all connected are done.  Of each other print up to ``pivots`` holders, those of the largest components first, are paired with
-    all holders that aren't connected to them and then leave the print: nothing in it is untested against them.
-    """
-    live = spread.withColumn("root", F.col("rep")).withColumn("size", F.lit(1).cast("long"))
-    if roots is not None:
-        sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").select(F.col("node").alias("rep"), "root", "size")
-        live = spread.join(sized.hint("merge"), "rep", "left").select("p", "rep", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
-    apart = live.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("p")
-    live = written(live.join(apart.hint("merge"), "p", "left_semi"), "live")
-    salt = F.pmod(F.xxhash64("rep"), F.lit(pivots))
-    chosen = live.groupBy("p", salt.alias("salt")).agg(F.max(F.struct("size", (-F.col("rep")).alias("least"), "rep", "n", "root")).alias("m"))
-    chosen = written(chosen.select("p", F.col("m.rep").alias("m_rep"), F.col("m.n").alias("m_n"), F.col("m.root").alias("m_root")), "pivots")
-    fits = F.least("n", "m_n") >= similarity * F.greatest("n", "m_n") - 1e-9
-    pairs = live.join(chosen.hint("merge"), "p").where((F.col("root") != F.col("m_root")) & fits).select(F.least("rep", "m_rep").alias("a"), F.greatest("rep", "m_rep").alias("b"))
-    rest = live.join(chosen.select("p", F.col("m_rep").alias("rep")).hint("merge"), ["p", "rep"], "left_anti").select("p", "rep", "n")
-    return pairs.distinct(), rest
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2, text: str = "text") -> DataFrame:
-    """doc_id and group_id, the smallest doc_id of those that links of at least ``similarity`` connect; rows without doc_id are left out.
-
-    Candidates are fingerprints that the Gray-order index links at ``most`` bits, and documents with an equal print of :func:`prefixes`, which
-    every pair that should link has.  The index's links only span its components, and equal fingerprints are compared with the least document's: pairs
-    that these leave out and that should link meet in a print.  Within a print rounds of :func:`_round` go on until every two holders are tested or connected.  A pair
-    links if the exact Jaccard similarity of its shingle sets suffices.  Equal sets link without a comparison, and one document stands for each.
-    """
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text"))
-    rows = written(prefixes(named, shingle, similarity), "prefixes")
-    sets = ["set_a", "set_b"]
-    classes = written(rows.groupBy(*sets).agg(F.min("doc_id").alias("rep")), "classes")
-    ranked = rows.join(classes.hint("merge"), sets)
-    reps = written(ranked.select("doc_id", "rep", "bits"), "reps")
-    near, spread = _round(_shared(ranked.where("doc_id = rep").select("rep", "n", F.explode("prints").alias("p"))), None, 1, similarity)
-    if most:
-        # A fingerprint is known by its least document; those of other sets with the same one are compared with it.
-        codes = written(reps.groupBy("bits").agg(F.min("rep").alias("least")), "codes")
-        links = near_links(codes, most)
-        ends = links.join(codes.select(F.col("bits").alias("a"), F.col("least").alias("u")), "a").join(codes.select(F.col("bits").alias("b"), F.col("least").alias("v")), "b")
-        alike = reps.select("bits", "rep").distinct().join(codes, "bits").where("rep != least")
-        near = near.union(ends.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).union(alike.select(F.col("least").alias("a"), F.col("rep").alias("b")))
-    pairs = tested = written(near.distinct(), "pairs")
-    roots, pivots = None, 1
-    while True:
-        if roots is None or not pairs.isEmpty():
-            links = similar(pairs, named, shingle, similarity)
-            roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        spread, pivots = written(spread, "spread"), pivots * PIVOTS
-        if spread.isEmpty():
-            break
-        near, spread = _round(spread, roots, pivots, similarity)
-        pairs = written(near.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-    found = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return found.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` but those in the group of a smaller doc_id; all columns stay.
-
-    Groups are those of :func:`similar_groups`.  Of several rows of one doc_id the one with the least text stays.  Rows without doc_id can't be
-    named, so they stay.
-    """
-    groups = written(similar_groups(docs, shingle, similarity, text=text), "groups")
-    late = groups.where("doc_id != group_id").select("doc_id").distinct()
-    left = docs.join(late.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    n, ids = groups.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if n == ids:
-        return left
-    least = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(text, *[c for c in docs.columns if c not in (text, "doc_id")])).alias("r"))
-    single = least.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
-    return single.union(left.where("doc_id is null"))

@@ -31,7 +31,7 @@ SLICE = 4 << 20
 def _hashes(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of some texts, and each window's hash and first word."""
     w = Words(text)
-    h, at = windows(w.spans(w.sums(), w.start, w.end), w.doc, k)
+    h, at = windows(w.hashes(), w.doc, k)
     return w, h, at
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column, in_batches, pieces
+from .common import LONG_WORD, Words, column, in_batches, pieces
 
 START, INNER, NONE = 0, 1, -1
 SLICE = 2 << 20
@@ -61,6 +61,8 @@ class PieceAutomaton:
         by = np.argsort(key)
         self.key, self.to = key[by], to[by]
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
+        #: The same tables for words that are counted one by one, made when the first of them comes.
+        self.steps: tuple[dict[int, int], list[int], list[int]] | None = None
 
     def _step(self, at: np.ndarray, byte: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -70,9 +72,18 @@ class PieceAutomaton:
         return np.where(self.key[i] == key, self.to[i], NONE)
 
     def count(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Pieces of each word raw[start:end]; 0 for a word that pieces don't cover.  All words advance together."""
+        """Pieces of each word raw[start:end]; 0 for a word that pieces don't cover.
+
+        Words advance together, a byte at a time; those of more than ``LONG_WORD`` bytes, which would go on alone, are counted one by one.
+        """
         n = np.zeros(len(start), np.int64)
         state = np.full(len(start), START)
+        long = end - start > LONG_WORD
+        if long.any():
+            n[~long] = self.count(raw, start[~long], end[~long])
+            for i in np.flatnonzero(long).tolist():
+                n[i] = self.count_one(raw[start[i] : end[i]].tobytes())
+            return n
         going = np.flatnonzero(end > start)
         at = start.copy()
         while len(going):
@@ -97,6 +108,24 @@ class PieceAutomaton:
             rest = rest[(state[rest] != NONE) & (state[rest] != INNER)]
         return np.where(state == INNER, n, 0)
 
+    def count_one(self, word: bytes) -> int:
+        """Pieces of one word, 0 if they don't cover it, in plain steps."""
+        if self.steps is None:
+            self.steps = dict(zip(self.key.tolist(), self.to.tolist(), strict=True)), self.fail.tolist(), self.pops.tolist()
+        step, fail, pops = self.steps
+        n, at = 0, START
+        for byte in word:
+            while (to := step.get(at * 256 + byte)) is None:
+                n += pops[at]
+                at = fail[at]
+                if at == NONE:
+                    return 0
+            at = to
+        while at not in (NONE, INNER):
+            n += pops[at]
+            at = fail[at]
+        return n if at == INNER else 0
+
 
 def byte_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     """Pieces of a byte-level vocabulary file: those with a space in front begin words, the others follow."""
@@ -129,7 +158,7 @@ def counted(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         a = automaton(path)
         for b in pieces(batches, limit=SLICE):
             w = Words(column(b, "text"))
-            _, one, back = np.unique(w.spans(w.sums(), w.start, w.end), return_index=True, return_inverse=True)
+            _, one, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
             size = w.end[one] - w.start[one] + 1
             ends = np.cumsum(size)
             raw = np.full(ends[-1] if len(ends) else 0, 32, np.uint8)

@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronokv.llm import bpe, cotrain, licenses, media, packing, quality, registry, sharding, simhash, substrings, wordpiece
-from chronokv.llm.common import Words, gapless, written
+from chronokv.llm import bpe, cotrain, licenses, media, nearsets, packing, quality, registry, sharding, simhash, substrings, wordpiece
+from chronokv.llm.common import BASE, PRIME, Words, gapless, mix, windows, written
 from chronokv.llm.links import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _hashes string"
@@ -239,8 +239,8 @@ def test_similar_groups(spark, docs, rows, empty):
     given = single + edits
     frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
     for most in (0, 2):
-        assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame, most=most).collect()} == similar_by_all_pairs(given)
-    assert simhash.similar_groups(empty).count() == 0
+        assert {r.doc_id: r.group_id for r in nearsets.similar_groups(frame, most=most).collect()} == similar_by_all_pairs(given)
+    assert nearsets.similar_groups(empty).count() == 0
 
 
 def test_copies_that_only_their_base_connects(spark):
@@ -255,7 +255,7 @@ def test_copies_that_only_their_base_connects(spark):
     want = similar_by_all_pairs(given)
     assert set(want.values()) == {0} and len(set(similar_by_all_pairs(copies).values())) > 1
     frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
-    assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame, most=0).collect()} == want
+    assert {r.doc_id: r.group_id for r in nearsets.similar_groups(frame, most=0).collect()} == want
 
 
 def test_near_copies_of_short_texts(spark):
@@ -276,7 +276,7 @@ def test_near_copies_of_short_texts(spark):
     want = similar_by_all_pairs(given)
     frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
     for most in (0, 2):
-        assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame, most=most).collect()} == want
+        assert {r.doc_id: r.group_id for r in nearsets.similar_groups(frame, most=most).collect()} == want
 
 
 def test_equal_fingerprints_of_a_dissimilar_least_document(spark):
@@ -291,12 +291,41 @@ def test_equal_fingerprints_of_a_dissimilar_least_document(spark):
     assert any(bits[i] == bits[i + 1] == bits[i + 2] for i in range(0, len(given), 3))
     want = similar_by_all_pairs(given)
     assert all(want[i] == i and want[i + 1] == want[i + 2] == i + 1 for i in range(0, len(given), 3))
-    assert {r.doc_id: r.group_id for r in simhash.similar_groups(frame).collect()} == want
+    assert {r.doc_id: r.group_id for r in nearsets.similar_groups(frame).collect()} == want
+
+
+@pytest.mark.parametrize(("words", "edits", "copies"), [(120, 2, 300), (300, 5, 300), (40, 1, 300), (120, 2, 3000)])
+def test_families_of_one_base(spark, words, edits, copies):
+    r = random.Random(words + copies)
+    base = [f"w{i}" for i in range(words)]
+    given = []
+    for i in range(copies):
+        own = list(base)
+        for k in r.sample(range(words), edits):
+            own[k] = f"e{i}x{k}"
+        given.append((i, " ".join(own)))
+    # Shingles that an edit spares are the base's, so a set is told by the edited places.
+    spared = np.ones((copies, words - 4), bool)
+    for i, (_, t) in enumerate(given):
+        for k, w in enumerate(t.split()):
+            if w[0] == "e":
+                spared[i, max(0, k - 4) : k + 1] = False
+    root = np.arange(copies)
+    n = words - 4
+    for i in range(copies):
+        common = (spared[i] & spared[:i]).sum(1)
+        for j in np.flatnonzero(common >= 0.8 * (2 * n - common)):
+            a, b = root[i], root[j]
+            root[root == max(a, b)] = min(a, b)
+    frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
+    for size in (2048, 100) if copies < 1000 else (2048,):
+        got = {x.doc_id: x.group_id for x in nearsets.similar_groups(frame, group=size).collect()}
+        assert got == dict(enumerate(root.tolist()))
 
 
 def test_one_of_each(docs, rows, empty):
-    left = simhash.one_of_each(docs)
-    assert left.columns == docs.columns and simhash.one_of_each(empty).count() == 0
+    left = nearsets.one_of_each(docs)
+    assert left.columns == docs.columns and nearsets.one_of_each(empty).count() == 0
     ids = [r.doc_id for r in left.collect()]
     assert ids.count(None) == 2 and len(set(ids) - {None}) == len([i for i in ids if i is not None])
     one = {}
@@ -306,9 +335,9 @@ def test_one_of_each(docs, rows, empty):
     assert set(ids) - {None} == {d for d, g in similar_by_all_pairs(list(one.items())).items() if d == g}
 
 
-@pytest.mark.parametrize("entry_rows", [20_000, 5])
+@pytest.mark.parametrize("sizes", [{}, {"part_codes": 5, "askers": 3}])
 @pytest.mark.parametrize("most", [0, 2, 3])
-def test_links_reach_what_all_pairs_reach(spark, entry_rows, most):
+def test_links_reach_what_all_pairs_reach(spark, sizes, most):
     r = random.Random(most)
     codes = {r.getrandbits(64) for _ in range(20)} | {0, (1 << 64) - 1}
     for _ in range(8):
@@ -316,7 +345,7 @@ def test_links_reach_what_all_pairs_reach(spark, entry_rows, most):
     codes = sorted(codes)
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     frame = written(spark.createDataFrame([(c,) for c in signed], "bits long"), "codes")
-    root = {x.node: x.root for x in components(simhash.near_links(frame, most, entry_rows)).collect()}
+    root = {x.node: x.root for x in components(simhash.near_links(frame, most, **sizes)).collect()}
     want = groups(list(range(len(codes))), codes, most)
     got = collections.defaultdict(set)
     for i, c in enumerate(signed):
@@ -324,6 +353,21 @@ def test_links_reach_what_all_pairs_reach(spark, entry_rows, most):
     assert sorted(map(sorted, got.values())) == sorted([i for i, w in enumerate(want) if w == g] for g in set(want))
 
 
+def test_tree_prunes_groups_and_loses_no_pair():
+    r = np.random.default_rng(5)
+    codes = r.integers(0, 1 << 63, 6000, dtype=np.uint64) * np.uint64(2)
+    codes = np.unique(np.concatenate([codes, codes[:500] ^ (np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64))]))
+    tree = simhash.GrayIndex(codes)
+    assert len(tree.levels) >= 4 and (np.diff(simhash.gray_rank(tree.codes).astype(object)) > 0).all()
+    got = {(int(a), int(b)) for q, at in tree.near(codes, 2) for a, b in zip(q, at, strict=True)}
+    want = {(int(a), int(b)) for lo in range(0, len(codes), 500) for a, b in zip(*np.nonzero(np.bitwise_count(codes[lo : lo + 500, None] ^ codes[None, :]) <= 2), strict=True) for a in [a + lo]}
+    assert got == want
+    # Whole groups are left out at every level: far fewer nodes are met than there are fingerprints to compare.
+    assert tree.pruned > 0.5 * tree.met and tree.met < 0.1 * len(codes) ** 2
+    before = tree.met
+    assert list(tree.near(np.array([codes[0] ^ np.uint64((1 << 64) - 1)]), 0))[0][0].size == 0 and tree.met - before < 60
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(5, 5), (None, 3), (101, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -566,5 +610,35 @@ def test_words_of_slices():
     raw = w.raw.tobytes()
     want = [(i, x) for i, t in enumerate(given[2:]) for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
     assert [(d, raw[s:e]) for d, s, e in zip(w.doc.tolist(), w.start.tolist(), w.end.tolist(), strict=True)] == want
-    h = w.spans(w.sums(), w.start, w.end).tolist()
+    h = w.hashes().tolist()
     assert len(set(h)) == len({x for _, x in want}) and len(set(zip(h, (x for _, x in want), strict=True))) == len(set(h))
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_texts_of_two_letters_do_not_meet(spark):
+    # Polynomial hashes modulo 2**64 are equal for these, whatever the base and the letters' values.
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(12))
+    given = [(1, f"{tail} {a}"), (2, f"{tail} {b}"), (3, f"{a}\n{b}\n{a}"), (4, " ".join([*a[:256], *b[:256]]))]
+    frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame).where("doc_id < 3").collect()} == {1: 0, 2: 0}
+    got = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality.judged(frame, quality.LineField.neutral()).collect()}
+    assert got == {i: (base_counts(t)[3], base_counts(t)[4]) for i, t in given}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first, inner = map(set, wordpiece.byte_pieces(path))
+    got = {r.doc_id: r.n_tokens for r in wordpiece.counted(frame, path).collect()}
+    assert got == {i: sum(max(greedy(b" " + w.encode(), first, inner), 1) for w in t.split()) for i, t in given}
+
+
+def test_windows_are_a_polynomial_modulo_a_prime():
+    r = np.random.default_rng(3)
+    h = r.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    doc = np.repeat([0, 1], 30)
+    for k in (1, 2, 5, 13, 30):
+        got, at = windows(h, doc, k)
+        plain = [sum((int(x) & PRIME) % PRIME * pow(BASE, k - 1 - j, PRIME) for j, x in enumerate(h[i : i + k])) % PRIME for i in at.tolist()]
+        assert got.tolist() == mix(np.array(plain, np.uint64) + np.uint64(k)).tolist() and len(at) == 2 * (31 - k)
