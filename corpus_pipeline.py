@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronokv.llm import cotrain, packing, quality, simhash, substrings
+from chronokv.llm import cotrain, nearsets, packing, quality, substrings
 from chronokv.llm.common import table, written
 
 
@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    return nearsets.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
