@@ -53,6 +53,12 @@ class InvalidArgument(StoreError):
     prefix = "invalid argument"
 
 
+class Fenced(StoreError):
+    """Another writer has taken the store over: open it anew; what was not acknowledged is not in it."""
+
+    prefix = "fenced"
+
+
 class NotSupported(StoreError):
     prefix = "not supported"
 
