@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-All distinct words of a slice of a partition are encoded together.  The index maps each adjacent pair of symbols to all
+A partition is taken in slices of ``INDEX_BYTES`` of text; all words of a slice that its worker has not met yet are encoded together.  The index maps each adjacent pair of symbols to all
 its positions; the active pair of the least rank is merged at every position at once, and
 the lists of the pairs beside those positions are updated.  Positions that an earlier merge has changed are skipped
 when their pair comes up.  A word's merges are those it would get alone, since a heap always yields the least
@@ -19,14 +19,13 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, pre_tokenizers
 
-from .common import column, in_batches, pieces
+from .common import column, filled, in_batches, pieces
 
-#: White space of the normalizer's \s, and the rule by which its pre-tokenizer finds words.
+#: White space of the normalizer's \s.
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: Slots of the table of pairs, as a power of two.
 SLOT_BITS = 19
@@ -38,10 +37,25 @@ INDEX_BYTES = 16 << 20
 CACHED_WORDS = 600_000
 
 
+def _class(kind: str) -> str:
+    """The characters of a Unicode kind, as ranges for a pattern, by the tables of the tokenizers library: other libraries' are of other versions."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    spans = (at for _, at in pre_tokenizers.Split(Regex(f"[^\\p{{{kind}}}]+"), "removed").pre_tokenize_str(every))
+    return "".join(f"{re.escape(every[a])}-{re.escape(every[b - 1])}" for a, b in spans)
+
+
+@lru_cache(maxsize=1)
+def word_rule() -> str:
+    """The rule by which the pre-tokenizer finds words in a run without white space; it takes seconds to make, so the driver does."""
+    letter, digit = _class("L"), _class("N")
+    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{letter}{digit}]+"
+
+
 class WordBpe:
     """Encoder and decoder for a BPE file with word ends, lower case and no white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, rule: str | None = None):
+        self.rule = re.compile(rule or word_rule())
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -177,10 +191,10 @@ class WordBpe:
         if len(self.known) > CACHED_WORDS:
             self.known, self.ids, self.written = _Numbers(), [], []
         docs = [list(map(self.known.__getitem__, self.units(t))) for t in texts]
-        words = _Numbers()
+        words, rule = _Numbers(), self.rule
         made = []
         for u in islice(self.known, len(self.ids), None):
-            made.append(self.special[u] if u in self.special else [words[u.encode()]] if u.isalpha() else [words[w.encode()] for w in (_ASCII_WORD if u.isascii() else _WORD).findall(u)])
+            made.append(self.special[u] if u in self.special else [words[w.encode()] for w in (_ASCII_WORD if u.isascii() else rule).findall(u)])
         ids = self.encode_words(list(words))
         none = np.zeros(0, np.int64)
         for m in made:
@@ -212,8 +226,8 @@ class _Numbers(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordBpe:
-    return WordBpe(path)
+def encoder(path: str, rule: str | None = None) -> WordBpe:
+    return WordBpe(path, rule)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -224,10 +238,11 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     in_batches(docs.sparkSession)
     d = docs.select("doc_id", docs[text].alias("text"))
     key = d.schema["doc_id"].dataType.simpleString()
+    rule = word_rule()
 
     def run(batches):
-        e = encoder(path)
-        for b in pieces(batches, limit=INDEX_BYTES):
+        e = encoder(path, rule)
+        for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES):
             units, ids = e.encode([t or "" for t in column(b, "text").to_pylist()])
             rows = [np.concatenate([ids[u] for u in x]).astype(np.int32) if x else np.zeros(0, np.int32) for x in units]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -238,9 +253,10 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """doc_id and the text that each row's ``ids`` decode to; null ids give a null."""
     key = rows.schema["doc_id"].dataType.simpleString()
+    rule = word_rule()
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(path, rule)
         for b in batches:
             out = [None if x is None else e.decode(x) for x in column(b, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
@@ -257,10 +273,11 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     in_batches(docs.sparkSession)
     d = docs.select("doc_id", docs[text].alias("text"))
     key = d.schema["doc_id"].dataType.simpleString()
+    rule = word_rule()
 
     def run(batches):
-        e = encoder(path)
-        for b in pieces(batches, limit=INDEX_BYTES):
+        e = encoder(path, rule)
+        for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES):
             units, ids = e.encode([t or "" for t in column(b, "text").to_pylist()])
             n, number, string = zip(*e.strings(), strict=True) if ids else ((), (), ())
             if 0 in n:

@@ -64,6 +64,19 @@ def larger(batches, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
         yield joined(held)
 
 
+def filled(batches, limit: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches joined until their texts have ``limit`` bytes: what is kept of one slice then serves many documents."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += pc.sum(pc.binary_length(column(b, text))).as_py() or 0
+        if size >= limit:
+            yield joined(held)
+            held, size = [], 0
+    if any(b.num_rows for b in held):
+        yield joined(held)
+
+
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 

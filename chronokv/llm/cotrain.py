@@ -1,7 +1,7 @@
 """Quality classifier by co-training (Blum and Mitchell 1998): two views teach each other.
 
-One view sees a text's content: kinds of characters, repeats and hashed words.  The other sees the page's metadata: language,
-source, size and the layout of its lines.  Each round both logistic models are fitted, and each hands the unlabelled documents
+One view sees a text's content: kinds of characters, repeats and hashed words.  The other sees the page's metadata alone, columns beside the text:
+language, source and stated size.  Each round both logistic models are fitted, all unlabelled documents of the table are scored, and each model hands those
 of which it is surest to the other as pseudo-labels.  At the end both are calibrated on labelled documents that no model was
 fitted on, and a weighted sum of their calibrated log-odds scores every document.
 """
@@ -17,19 +17,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column, in_batches, pieces
-from .quality import _BANG, _BAR, _DIGIT, _HIGH, _SYMBOL, _UPPER, sample
+from .common import Words, column, in_batches, pieces, written
+from .quality import _BANG, _BAR, _DIGIT, _SYMBOL, _UPPER, sample
 
-#: Labelled documents, and unlabelled documents that may get pseudo-labels, that fitting reads at most.
-LABELLED, POOL = 2000, 2000
-ROUNDS = 4
-#: A pseudo-label needs at least this probability; of each class a view hands over so many per round at most.
+#: Labelled documents that fitting reads at most.
+LABELLED = 2000
+ROUNDS = 3
+#: A pseudo-label needs at least this probability; a view hands over the surest so many of each class in a round.
 SURE, HANDED = 0.97, 200
 #: Strength of the pull when views are combined.
 PULL = 0.1
 WORD_SLOTS, NAME_SLOTS = 512, 64
-_DENSE, _LAYOUT = 14, 12
-CONTENT_SIZE, META_SIZE = _DENSE + WORD_SLOTS, _LAYOUT + 2 * NAME_SLOTS
+_DENSE, _STATED = 14, 6
+CONTENT_SIZE, META_SIZE = _DENSE + WORD_SLOTS, _STATED + 2 * NAME_SLOTS
 THRESHOLD = 0.5
 
 
@@ -50,9 +50,8 @@ def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     slots = np.sqrt(slots / n[:, None]) * 0.5
     content = np.concatenate([np.stack(dense, 1), slots], 1).astype(np.float32)
 
-    feeds = count(w.raw == 10) + 1
     chars = np.nan_to_num(np.asarray(column(batch, "n_chars").cast(pa.float64()).fill_null(-1)), nan=-1.0)
-    layout = [np.ones(w.docs), np.log1p(size) / 10, np.log1p(feeds) / 10, np.log1p(size / feeds) / 10, np.log1p(n / feeds) / 10, size / n / 10, size / n > 9, count(_HIGH[w.raw]) / size, chars < 0, np.log1p(np.maximum(chars, 0)) / 12, feeds <= 1, w.n < 10]
+    stated = [np.ones(w.docs), chars < 0, np.log1p(np.maximum(chars, 0)) / 12, (chars >= 0) & (chars < 100), (chars >= 100) & (chars < 1000), chars >= 20_000]
     rows = np.arange(w.docs)
     names = np.zeros((w.docs, 2 * NAME_SLOTS))
     for k, name in enumerate(("lang", "source")):
@@ -60,7 +59,7 @@ def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         slot = np.array([xxhash.xxh64_intdigest(v.encode()) % NAME_SLOTS for v in coded.dictionary.to_pylist()], np.int64)
         if len(slot):
             names[rows, k * NAME_SLOTS + slot[np.asarray(coded.indices)]] = 0.5
-    return content, np.concatenate([np.stack(layout, 1), names], 1).astype(np.float32)
+    return content, np.concatenate([np.stack(stated, 1), names], 1).astype(np.float32)
 
 
 def odds(x: np.ndarray) -> np.ndarray:
@@ -135,61 +134,112 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(self.mixed[0] * a + self.mixed[1] * b + self.mixed[2])
 
     @staticmethod
-    def trained(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, handed: int = HANDED) -> CoTrained:
-        """Rows of both views and their labels: 1, 0, or -1 for none.  Every fifth labelled row only calibrates."""
-        known = np.flatnonzero(label >= 0)
-        aside, base = known[::5], known[np.arange(len(known)) % 5 > 0]
+    def trained(content: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: Pool | None = None, rounds: int = ROUNDS, sure: float = SURE, handed: int = HANDED) -> CoTrained:
+        """Rows of both views of labelled documents, their labels 1 or 0, and the unlabelled documents.  Every fifth row only calibrates."""
+        turn = np.arange(len(label)) % 5
+        aside, base = np.flatnonzero(turn == 0), np.flatnonzero(turn)
         if len({*label[base].tolist()}) < 2 or not len(aside):
             return CoTrained(None, None)
         view = (content, meta)
-        taught: list[dict[int, int]] = [{}, {}]
+        #: What each view was taught by the other: id -> its row and the pseudo-label.
+        taught: list[dict[int, tuple[np.ndarray, int]]] = [{}, {}]
         weights = [np.zeros(0)] * 2
         for r in range(rounds + 1):
             for v in (0, 1):
-                more = np.array(list(taught[v]), np.int64)
-                x = np.concatenate([view[v][base], view[v][more]])
-                y = np.concatenate([label[base], np.array(list(taught[v].values()), label.dtype)])
-                weights[v] = fit(x, y)
-            if r == rounds:
+                more = list(taught[v].values())
+                x = np.concatenate([view[v][base], *(row[None, :] for row, _ in more)])
+                weights[v] = fit(x, np.append(label[base], [value for _, value in more]))
+            if r == rounds or pool is None:
                 break
-            for v in (0, 1):
-                free = np.array([i for i in np.flatnonzero(label < 0).tolist() if i not in taught[1 - v]], np.int64)
-                # What a view is sure of is judged by its calibrated odds: a view that knows nothing hands nothing over.
-                a, b = calibrate(view[v][aside] @ weights[v], label[aside])
-                p = sigmoid(a * (view[v][free] @ weights[v]) + b)
-                for value, surety in ((1, p), (0, 1 - p)):
-                    best = np.argsort(-surety, kind="stable")[:handed]
-                    taught[1 - v] |= {int(i): value for i in free[best[surety[best] >= sure]]}
+            # What a view is sure of is judged by its calibrated odds: a view that knows nothing hands nothing over.
+            scale = [calibrate(view[v][aside] @ weights[v], label[aside]) for v in (0, 1)]
+            known = [{*taught[1 - v]} for v in (0, 1)]
+            for v, value, i, rows in pool.surest(weights, scale, known, sure, handed):
+                taught[1 - v][i] = (rows[1 - v], value)
         scale = tuple(calibrate(view[v][aside] @ weights[v], label[aside]) for v in (0, 1))
-        prior = float(odds(np.array((label[known].sum() + 1) / (len(known) + 2))))
+        prior = float(odds(np.array((label.sum() + 1) / (len(label) + 2))))
         a, b = (scale[v][0] * (view[v][aside] @ weights[v]) + scale[v][1] for v in (0, 1))
         return CoTrained(weights[0], weights[1], scale, combine(a, b, label[aside], prior), (len(taught[0]), len(taught[1])))
 
 
+class Pool:
+    """Unlabelled documents as rows of both views, each known by its place."""
+
+    def __init__(self, content: np.ndarray, meta: np.ndarray):
+        self.view = (content, meta)
+
+    def surest(self, weights, scale, known, sure: float, handed: int):
+        """(view, label, id, rows of both views) of at most ``handed`` of each label of which a view is at least ``sure``, but those that are ``known`` from it."""
+        for v in (0, 1):
+            free = np.array([i for i in range(len(self.view[v])) if i not in known[v]], np.int64)
+            p = sigmoid(scale[v][0] * (self.view[v][free] @ weights[v]) + scale[v][1])
+            for value, surety in ((1, p), (0, 1 - p)):
+                best = np.argsort(-surety, kind="stable")[:handed]
+                for i in free[best[surety[best] >= sure]].tolist():
+                    yield v, value, i, (self.view[0][i], self.view[1][i])
+
+
+class TablePool(Pool):
+    """All documents of a table that have no label.  A round scores every one of them; only the ids that are handed over, and their rows, come to the driver."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame):
+        self.docs, self.labelled = docs.where("doc_id is not null"), labels.select("doc_id").distinct()
+
+    def surest(self, weights, scale, known, sure: float, handed: int):
+        def score(batches):
+            for b in pieces(batches):
+                # Rounded, as the order of sums may differ between batches.
+                p = [np.round(sigmoid(scale[v][0] * (x.astype(np.float64) @ weights[v]) + scale[v][1]), 9) for v, x in enumerate(views(b))]
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id"), *map(pa.array, p)], ["doc_id", "p0", "p1"])
+
+        spark = self.docs.sparkSession
+        found = written(self.docs.mapInArrow(score, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, p0 double, p1 double"), "scores")
+        found = found.groupBy("doc_id").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1"))
+        free = written(found.join(self.labelled.hint("merge"), "doc_id", "left_anti").where(f"p0 >= {sure} or p1 >= {sure} or p0 <= {1 - sure} or p1 <= {1 - sure}"), "free")
+        chosen: list[tuple[int, int, int]] = []
+        for v in (0, 1):
+            old = spark.createDataFrame([(i,) for i in known[v]], "doc_id long")
+            own = free.join(F.broadcast(old), "doc_id", "left_anti")
+            for value, surety in ((1, F.col(f"p{v}")), (0, 1 - F.col(f"p{v}"))):
+                best = own.where(surety >= sure).orderBy(surety.desc(), F.xxhash64("doc_id"), "doc_id").limit(handed)
+                chosen += [(v, value, r["doc_id"]) for r in best.select("doc_id").collect()]
+        if not chosen:
+            return
+        ids = spark.createDataFrame([(i,) for i in {i for *_, i in chosen}], "doc_id long")
+        rows = view_rows(self.docs.join(F.broadcast(ids), "doc_id", "left_semi"))
+        for v, value, i in chosen:
+            if i in rows:
+                yield v, value, i, rows[i]
+
+
+def view_rows(docs: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """doc_id -> rows of both views, for a few documents; of several rows of an id that with the least bytes."""
+    def run(batches):
+        for b in pieces(batches):
+            parts = [pa.array([x.tobytes() for x in v], pa.binary()) for v in views(b)]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()), *parts], ["doc_id", "content", "meta"])
+
+    found = docs.select("doc_id", *_COLUMNS).mapInArrow(run, "doc_id long, content binary, meta binary").groupBy("doc_id").agg(F.min(F.struct("content", "meta")).alias("r"))
+    return {r["doc_id"]: (np.frombuffer(bytes(r["r"]["content"]), np.float32), np.frombuffer(bytes(r["r"]["meta"]), np.float32)) for r in found.collect()}
+
+
 _COLUMNS = ("text", "lang", "source", "n_chars")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Fit on at most ``labelled`` labelled and ``pool`` unlabelled documents; both are those whose ids have the least hashes."""
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on at most ``labelled`` labelled documents, those whose ids have the least hashes, and on what the views hand over of all unlabelled ones.
+
+    Null ids and labels are left out; an id with several labels has the least.
+    """
     in_batches(docs.sparkSession)
-    free = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-    free = free.select("doc_id", F.lit(-1).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     some = docs.select("doc_id", *_COLUMNS)
-    known = sample(some, labels, labelled)
-    rows = known.select("doc_id", *_COLUMNS, F.col("_label").cast("int")).union(some.join(F.broadcast(free), "doc_id").select("doc_id", *_COLUMNS, F.col("_label").cast("int")))
-
-    def run(batches):
-        for b in pieces(batches):
-            parts = [pa.array([x.tobytes() for x in v], pa.binary()) for v in views(b)]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "_label"), *parts], ["doc_id", "label", "content", "meta"])
-
-    found = rows.mapInArrow(run, "doc_id long, label int, content binary, meta binary").groupBy("doc_id").agg(F.min(F.struct("label", "content", "meta")).alias("r"))
-    data = sorted((r["doc_id"], r["r"]["label"], bytes(r["r"]["content"]), bytes(r["r"]["meta"])) for r in found.collect())
+    known = written(sample(some, labels, labelled), "known")
+    rows = view_rows(known)
+    label = {r["doc_id"]: int(r["_label"] > 0) for r in known.groupBy("doc_id").agg(F.min("_label").alias("_label")).collect()}
     # In the order of the ids' hashes, so that rows set aside for calibration are spread evenly.
-    data.sort(key=lambda d: xxhash.xxh64_intdigest(str(d[0])))
-    table = lambda k, size: np.frombuffer(b"".join(d[k] for d in data), np.float32).reshape(-1, size)
-    label = np.array([min(d[1], 1) if d[1] >= 0 else -1 for d in data], np.int64)
-    return CoTrained.trained(table(2, CONTENT_SIZE), table(3, META_SIZE), label)
+    ids = sorted(rows, key=lambda i: xxhash.xxh64_intdigest(str(i)))
+    table = lambda k, size: np.array([rows[i][k] for i in ids], np.float32).reshape(-1, size)
+    return CoTrained.trained(table(0, CONTENT_SIZE), table(1, META_SIZE), np.array([label[i] for i in ids], np.int64), TablePool(some, labels), rounds)
 
 
 def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -210,7 +260,7 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """The rows of ``docs`` that :func:`scored` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`scored` keeps, with all their columns; its docstring says what odd rows give."""
     in_batches(docs.sparkSession)
 
     def run(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronokv.llm import bpe, cotrain, licenses, media, nearsets, packing, quality, registry, sharding, simhash, substrings, wordpiece
-from chronokv.llm.common import BASE, PRIME, Words, gapless, mix, windows, written
+from chronokv.llm.common import BASE, PRIME, Words, filled, gapless, mix, windows, written
 from chronokv.llm.links import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _hashes string"
@@ -141,13 +141,116 @@ def test_co_training_helps_the_weak_view():
     y = r.integers(0, 2, 1200)
     a = np.stack([np.ones(1200), y + r.normal(0, 0.2, 1200)], 1)
     b = np.concatenate([np.ones((1200, 1)), (y[:, None] * 2 - 1) * 0.2 + r.normal(0, 1, (1200, 30))], 1)
-    label = np.where(np.arange(1200) < 150, y, -1)
-    alone = cotrain.CoTrained.trained(a, b, label, rounds=0)
-    taught = cotrain.CoTrained.trained(a, b, label, sure=0.9)
+    alone = cotrain.CoTrained.trained(a[:150], b[:150], y[:150])
+    taught = cotrain.CoTrained.trained(a[:150], b[:150], y[:150], cotrain.Pool(a[150:], b[150:]), sure=0.9)
     right = lambda m: ((m.scores(a, b)[1] >= 0.5) == (y > 0))[150:].mean()
     assert right(taught) > right(alone) and taught.handed[1] > 100
 
 
+def plain_views(r):
+    """Both views of a row (doc_id, text, lang, source, n_chars), as slot -> value."""
+    t = (r[1] or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", t)
+    n, size = max(len(words), 1), max(len(t), 1)
+    share = lambda chars: sum(c in chars for c in t)
+    symbol, upper, bang, bar = share(b"#*$%&|<>") / n, share(bytes(range(65, 91))) / size, share(b"!") / n, share(b"|") / n
+    repeat = sum(a == b for a, b in itertools.pairwise(words)) / n
+    content = dict(enumerate([1, min(symbol, 1), symbol > 0.2, symbol > 0.6, upper, upper > 0.3, min(bang, 1), bang > 0.3, min(bar, 1), bar > 0.2, share(b"0123456789") / size, repeat, repeat > 0.3, len(words) < 10]))
+    slots = collections.Counter(int(h) % cotrain.WORD_SLOTS for h in Words(pa.array([r[1]], pa.string())).hashes())
+    content |= {len(content) + k: 0.5 * (c / n) ** 0.5 for k, c in slots.items()}
+    chars = -1 if r[4] is None else r[4]
+    meta = dict(enumerate([1, chars < 0, np.log1p(max(chars, 0)) / 12, 0 <= chars < 100, 100 <= chars < 1000, chars >= 20_000]))
+    for k, name in enumerate((r[2], r[3])):
+        meta[6 + k * cotrain.NAME_SLOTS + xxhash.xxh64_intdigest((name if name is not None else "\0").encode()) % cotrain.NAME_SLOTS] = 0.5
+    return content, meta
+
+
+def test_scores_by_plain_sums(docs, rows):
+    r = np.random.default_rng(8)
+    model = cotrain.CoTrained(r.normal(size=cotrain.CONTENT_SIZE), r.normal(size=cotrain.META_SIZE), ((0.7, 0.1), (1.3, -0.2)), (0.9, 0.4, 0.05))
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    want = []
+    for row in rows:
+        a, b = (scale[0] * sum(w[k] * v for k, v in x.items()) + scale[1] for x, w, scale in zip(plain_views(row), (model.content, model.meta), model.scale, strict=True))
+        want.append((row[0], logistic(a), logistic(b), logistic(0.9 * a + 0.4 * b + 0.05)))
+    got = sorted(((x.doc_id, x.p_content, x.p_meta, x.score) for x in cotrain.scored(docs, model).collect()), key=lambda x: (x[0] is None, *(v or 0 for v in x)))
+    want.sort(key=lambda x: (x[0] is None, *(v or 0 for v in x)))
+    for x, y in zip(got, want, strict=True):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:], abs=1e-4)
+    assert all((x.score >= 0.5) == x.kept for x in cotrain.scored(docs, model).collect())
+
+
+def test_the_metadata_view_reads_no_text():
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array(x) for x in (t, ["en", "fr"], ["a", None], [5, 30_000])], ["text", "lang", "source", "n_chars"])
+    (_, one), (_, two) = cotrain.views(batch(["x y", "z"])), cotrain.views(batch(["### | 1 A\n" * 90, ""]))
+    assert (one == two).all()
+
+
+def test_pool_of_a_table_is_all_of_it(spark):
+    rows = [(i, ("word " * 30 if i % 2 else "x# y| " * 30) + f"t{i}", "en", "good" if i % 2 else "bad", 200) for i in range(400)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)], "doc_id long, quality int")
+    known = cotrain.view_rows(docs.where("doc_id < 60"))
+    x = [np.array([known[i][v] for i in range(60)]) for v in (0, 1)]
+    y = np.arange(60) % 2
+    weights = [cotrain.fit(a, y) for a in x]
+    scale = [cotrain.calibrate(a @ w, y) for a, w in zip(x, weights, strict=True)]
+    rest = cotrain.view_rows(docs.where("doc_id >= 60"))
+    ids = sorted(rest)
+    plain = cotrain.Pool(*(np.array([rest[i][v] for i in ids]) for v in (0, 1)))
+    for handed in (10_000, 7):
+        got = {(v, value, i) for v, value, i, _ in cotrain.TablePool(docs, labels).surest(weights, scale, [{61}, set()], 0.9, handed)}
+        want = {(v, value, ids[i]) for v, value, i, _ in plain.surest(weights, scale, [{1}, set()], 0.9, handed)}
+        assert collections.Counter(g[:2] for g in got) == collections.Counter(w[:2] for w in want) and (handed == 7 or got == want) and got
+        assert all(i >= 60 and (v, i) != (0, 61) for v, _, i in got)
+
+
+# Line labels
+
+
+def test_mixed_pages_get_mixed_labels(spark):
+    r = random.Random(4)
+    prose = lambda: " ".join(r.choices(["some", "words", "of", "plain", "prose", "that", "reads", "well"], k=14)) + "."
+    junk = lambda: " | ".join(r.choices(["Home", "Login", "About", "Help", "Buy", "More"], k=12)) + " ###"
+    rows, labels, mixed = [], [], {}
+    for i in range(240):
+        good = i % 2
+        lines = [prose() if good else junk() for _ in range(8)]
+        if i % 3 == 0:  # boilerplate within good pages and prose within poor ones
+            lines[:2] = [junk() if good else prose() for _ in range(2)]
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, good))
+    for i in range(240, 300):
+        k = r.randrange(1, 8)
+        lines = [junk() for _ in range(k)] + [prose() for _ in range(8 - k)]
+        rows.append((i, "\n".join(lines)))
+        mixed[i] = sum(len(x.split()) for x in lines[k:])
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    field = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"), 240)
+    got = {x.doc_id: x for x in quality.judged(docs, field).collect()}
+    assert all(got[i].n_content_words == n for i, n in mixed.items())
+    shares = [n / got[i].n_words for i, n in mixed.items()]
+    assert min(shares) < 0.5 < max(shares)
+    assert all(got[i].kept == (not base_counts(t)[-1] and 2 * mixed[i] >= got[i].n_words) for i, t in rows[240:])
+
+
+def test_kept_by_brute_force(docs, rows):
+    r = np.random.default_rng(2)
+    field = quality.LineField(r.normal(size=(quality.FEATURES, 2)), r.normal(size=(2, 2)), r.normal(size=2))
+    want = []
+    for row in rows:
+        lines = quality.Lines(pa.array([row[1]], pa.string()))
+        s = lines.features() @ field.emit
+        best = [(field.begin[y] + s[0, y], (y,)) for y in (0, 1)] if len(s) else [(0, ())]
+        for t in range(1, len(s)):
+            best = [max(((v + field.move[p[-1], y] + s[t, y], (*p, y)) for v, p in best), key=lambda x: x[0]) for y in (0, 1)]
+        labels = max(best, key=lambda x: x[0])[1]
+        content = sum(len(WORD.findall(x)) for x, y in zip([x for x in (row[1] or "").split("\n") if WORD.search(x)], labels, strict=True) if y)
+        n, *_, failed = base_counts(row[1])
+        want.append((row[0], content, not failed and 2 * content >= n))
+    same(quality.judged(docs, field).select("doc_id", "n_content_words", "kept"), want)
+
+
 # Word pieces
 
 
@@ -593,6 +696,23 @@ def test_word_bpe(docs, rows, empty):
     assert bpe.digests(empty, path).count() == 0 == bpe.encoded(empty, path).count()
 
 
+def test_word_bpe_of_every_code_point():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, tokenizer = bpe.WordBpe(path), Tokenizer.from_file(path)
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    given = ["\n".join(f"a{c}b {c} {c}1" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    want = [e.ids for e in tokenizer.encode_batch(given, add_special_tokens=False)]
+    for i in range(0, len(given), 40):
+        docs, ids = own.encode(given[i : i + 40])
+        assert [np.concatenate([ids[u] for u in d]).tolist() for d in docs] == want[i : i + 40], i
+
+
+def test_slices_are_filled_from_many_batches():
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * 10, None, "yy"])], ["text"])] * 7
+    got = [b.num_rows for b in filled(iter(batches), 30)]
+    assert got == [9, 9, 3] and sum(got) == 21
+
+
 def test_runs_of_one_symbol():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, own = Tokenizer.from_file(path), bpe.encoder(path)
