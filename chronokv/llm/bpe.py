@@ -20,7 +20,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from tokenizers import Regex, pre_tokenizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import column, filled, in_batches, pieces
 
@@ -45,17 +45,25 @@ def _class(kind: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def word_rule() -> str:
-    """The rule by which the pre-tokenizer finds words in a run without white space; it takes seconds to make, so the driver does."""
+def tables() -> tuple[str, str]:
+    """Two patterns: the rule by which the pre-tokenizer finds words in a run without white space, and the characters that Python's own tables don't know.
+
+    They take seconds to make, so the driver does.
+    """
     letter, digit = _class("L"), _class("N")
-    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{letter}{digit}]+"
+    gap = [unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)]
+    edge = [c for c in range(0x110001) if (c < 0x110000 and gap[c]) != (c > 0 and gap[c - 1])]
+    unknown = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edge[::2], edge[1::2], strict=True))
+    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{letter}{digit}]+", f"[{unknown}]"
 
 
 class WordBpe:
     """Encoder and decoder for a BPE file with word ends, lower case and no white space."""
 
-    def __init__(self, path: str, rule: str | None = None):
-        self.rule = re.compile(rule or word_rule())
+    def __init__(self, path: str, patterns: tuple[str, str] | None = None):
+        self.rule, self.unknown = map(re.compile, patterns or tables())
+        #: For texts with characters of a later Unicode version than Python's, whose lower case and compositions Python can't tell.
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -178,6 +186,8 @@ class WordBpe:
         """Normalised runs without white space; a special token is a run of its own."""
         def plain(t: str) -> list[str]:
             if not t.isascii():
+                if self.unknown.search(t):
+                    return [u for u in self.normalizer.normalize_str(t).split(" ") if u]
                 t = unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3")  # lower case is by character: no final sigma
             t = t.lower()
             return [u for u in _GAP.split(t) if u] if _ODD.search(t) else t.split()
@@ -226,8 +236,8 @@ class _Numbers(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, rule: str | None = None) -> WordBpe:
-    return WordBpe(path, rule)
+def encoder(path: str, patterns: tuple[str, str] | None = None) -> WordBpe:
+    return WordBpe(path, patterns)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -238,10 +248,10 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     in_batches(docs.sparkSession)
     d = docs.select("doc_id", docs[text].alias("text"))
     key = d.schema["doc_id"].dataType.simpleString()
-    rule = word_rule()
+    patterns = tables()
 
     def run(batches):
-        e = encoder(path, rule)
+        e = encoder(path, patterns)
         for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES):
             units, ids = e.encode([t or "" for t in column(b, "text").to_pylist()])
             rows = [np.concatenate([ids[u] for u in x]).astype(np.int32) if x else np.zeros(0, np.int32) for x in units]
@@ -253,10 +263,10 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """doc_id and the text that each row's ``ids`` decode to; null ids give a null."""
     key = rows.schema["doc_id"].dataType.simpleString()
-    rule = word_rule()
+    patterns = tables()
 
     def run(batches):
-        e = encoder(path, rule)
+        e = encoder(path, patterns)
         for b in batches:
             out = [None if x is None else e.decode(x) for x in column(b, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
@@ -273,10 +283,10 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     in_batches(docs.sparkSession)
     d = docs.select("doc_id", docs[text].alias("text"))
     key = d.schema["doc_id"].dataType.simpleString()
-    rule = word_rule()
+    patterns = tables()
 
     def run(batches):
-        e = encoder(path, rule)
+        e = encoder(path, patterns)
         for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES):
             units, ids = e.encode([t or "" for t in column(b, "text").to_pylist()])
             n, number, string = zip(*e.strings(), strict=True) if ids else ((), (), ())

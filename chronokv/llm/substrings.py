@@ -3,8 +3,10 @@
 Hashes travel packed: a row holds, for a slice of documents and a bucket of hashes, the windows' hashes and how
 many of them each document has.  Within a slice all but the smallest document of a hash are settled on the
 spot, so a window that very many documents share costs one entry a slice.  A bucket finds each hash's smallest document and
-answers the others; a document's answered windows are found again in its text and merged into intervals.
-Hashes have 64 bits: of n windows about n / 2**64 of each are expected to meet a stranger.
+answers the others; a document's answered windows are found again in its text and merged into intervals.  Only documents that may have answers
+are shuffled to meet them.
+Windows are told apart by the polynomial of their words' 64-bit hashes modulo the prime 2**61 - 1: among n different windows, one is expected to meet a
+stranger with a chance of about n / 2**61, whatever the texts look like.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, column, in_batches, mix, pieces, windows
+from .common import U64, Words, column, in_batches, mix, pieces, screened, windows, written
 
 WINDOW = 13
 #: Windows that a bucket should get; a task holds about 50 bytes for each of one bucket's.
@@ -128,9 +130,11 @@ def _answered(docs: DataFrame, k: int, text: str) -> tuple[DataFrame, str]:
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    late = repeated(own.where("doc_id is not null and text is not null"), k, buckets_for(own))
+    late = written(repeated(own.where("doc_id is not null and text is not null"), k, buckets_for(own)), "answers")
     answers = late.groupBy(F.col("doc_id").alias(f"{name}id")).agg(F.collect_list("hashes").alias(name))
-    return docs.join(answers, docs["doc_id"] == answers[f"{name}id"], "left").drop(f"{name}id"), name
+    maybe, surely = screened(docs, late)
+    met = maybe.join(answers, maybe["doc_id"] == answers[f"{name}id"], "left").drop(f"{name}id")
+    return met.union(surely.withColumn(name, F.lit(None).cast("array<binary>"))), name
 
 
 def _gone(batch: pa.RecordBatch, text: str, k: int, name: str) -> tuple[Words, np.ndarray]:
