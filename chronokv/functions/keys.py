@@ -38,26 +38,41 @@ def max_bytes_for_level(level: Column) -> Column:
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
-    """Characters that two strings have in common at the front; a null shares none."""
-    most = F.least(F.length(a), F.length(b))
+    """Bytes that two keys (strings or binary) have in common at the front; a null shares none."""
+    a, b = a.cast("binary"), b.cast("binary")
+    most = F.least(F.octet_length(a), F.octet_length(b))
     differ = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: (i <= most) & (F.substring(a, i, 1) != F.substring(b, i, 1)))
     return F.when(a.isNull() | b.isNull(), 0).otherwise(F.coalesce(F.get(differ, 0) - 1, most))
 
 
+def byte_at(key: Column, i: Column) -> Column:
+    """The byte of a binary key at a place from 1, as a number."""
+    return F.conv(F.hex(F.substring(key, i, 1)), 16, 10).cast("int")
+
+
+def _up_to(key: Column, n: Column, last: Column) -> Column:
+    """The first n bytes of a binary key, and one byte more."""
+    return F.concat(F.substring(key, F.lit(1), n), F.unhex(F.lpad(F.hex(last.cast("long")), 2, "0")))
+
+
 def shortest_separator(a: Column, b: Column) -> Column:
-    """The shortest ASCII string s with a <= s < b that this rule makes: a's common part and its next character plus one.
+    """The short key s, as bytes, with a <= s < b that this rule makes: a's common part with b and its next byte plus one.
 
-    ``a`` itself where one is a prefix of the other, or the next character is not smaller by two.
+    ``a`` itself where one is a prefix of the other, or the next byte is not smaller by two.
     """
-    n = shared_prefix(a, b)
-    ca, cb = F.ascii(F.substring(a, n + 1, 1)), F.ascii(F.substring(b, n + 1, 1))
-    fits = (n < F.least(F.length(a), F.length(b))) & (ca < 255) & (ca + 1 < cb)
-    return F.when(fits, F.concat(F.substring(a, 1, n), F.char(ca + 1))).otherwise(a)
+    x, y = a.cast("binary"), b.cast("binary")
+    n = shared_prefix(x, y)
+    bx, by = byte_at(x, n + 1), byte_at(y, n + 1)
+    fits = (n < F.least(F.octet_length(x), F.octet_length(y))) & (bx < 255) & (bx + 1 < by)
+    return F.when(fits, _up_to(x, n, bx + 1)).otherwise(x)
 
 
 def short_successor(a: Column) -> Column:
-    """The first character plus one: a short ASCII string that is not less than ``a``; the empty string stays."""
-    return F.when(F.length(a) == 0, a).otherwise(F.char(F.ascii(a) + 1))
+    """A short key, as bytes, that is not less than ``a``: up to its first byte that isn't 0xFF, plus one; a key without such a byte stays."""
+    x = a.cast("binary")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.octet_length(x), F.lit(1))), lambda i: (i <= F.octet_length(x)) & (F.substring(x, i, 1) != F.unhex(F.lit("FF"))))
+    first = F.get(places, 0)
+    return F.when(first.isNull(), x).otherwise(_up_to(x, first - 1, byte_at(x, first) + 1))
 
 
 def park_miller(seed: Column, n: Column) -> Column:
@@ -66,6 +81,17 @@ def park_miller(seed: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: s * 16807 % 2147483647)
 
 
+def uniform(seed: Column, n: Column, below: Column) -> Column:
+    """The n-th value of the generator, modulo ``below``."""
+    return park_miller(seed, n) % below
+
+
+def skewed(seed: Column, n: Column, max_log: int) -> Column:
+    """The n-th value that is small more often than large: a draw says how many bits, up to ``max_log``, the next one keeps."""
+    bits = park_miller(seed, 2 * n - 1) % (max_log + 1)
+    return park_miller(seed, 2 * n) % F.pow(F.lit(2), bits).cast("long")
+
+
 def file_name(db: str, number: Column, suffix: str) -> Column:
     return F.format_string(f"{db}/%06d.{suffix}", number)
 

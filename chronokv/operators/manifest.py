@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import allowed_seeks, file_number, file_type, max_bytes_for_level
 from ..functions.model import L0_TRIGGER
+from ..functions.tables import written
 
 
 def describe(entries: DataFrame, by: list[str], size: Column) -> DataFrame:
@@ -65,6 +66,7 @@ def find_file(files: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe ``key`` the file of a level without overlaps that may hold it: the first whose largest key is not below it."""
     from .reads import seek_many
 
+    files = written(files.select("number", "lo", "hi"), "files")
     ends = files.select(F.col("hi").alias("key"))
     landed = seek_many(ends, probes.select(F.col("key").alias("target")).distinct(), "ge")
     return landed.join(files.select("number", "lo", "hi"), landed["found"] == files["hi"], "left").select(F.col("target").alias("key"), "number", (F.col("lo") <= F.col("target")).alias("inside"))
@@ -86,6 +88,19 @@ def apply_edit(base: DataFrame, added: DataFrame, deleted: DataFrame) -> DataFra
     return left.select(*base.columns).unionByName(added.select(*base.columns))
 
 
+def boundary_closure(files: DataFrame) -> DataFrame:
+    """For each file of a level the last file that goes on with older versions of its last user key, and of that one's, and so on.
+
+    ``files`` has number, lo, hi (user keys) and lo_seq (of the first entry): in a level's order a file is followed by one that begins with the user key
+    the first ends with.  Columns: number, last_number, n_files (1: the file stands alone).  A run of such files is an island, found by one pass over the level in order.
+    """
+    w = Window.orderBy("lo", F.col("lo_seq").desc(), "number")
+    rows = files.withColumn("_new", F.when(F.lag("hi").over(w) == F.col("lo"), 0).otherwise(1)).withColumn("_at", F.row_number().over(w))
+    rows = rows.withColumn("_island", F.sum("_new").over(w))
+    last = rows.groupBy("_island").agg(F.max("_at").alias("_end"), F.max_by("number", "_at").alias("last_number"))
+    return rows.join(last, "_island").select("number", "last_number", (F.col("_end") - F.col("_at") + 1).cast("long").alias("n_files"))
+
+
 def live_files(*versions: DataFrame) -> DataFrame:
     """Numbers of the files of all versions in use."""
     out = versions[0].select("number")

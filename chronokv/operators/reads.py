@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.model import DELETE, PUT
+from ..functions.tables import written
 
 #: Sequence numbers to a bucket: what one task sorts for one key at most.
 BUCKET_SEQS = 1 << 20
@@ -37,30 +38,34 @@ def latest_by_window(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     return log.withColumn("_n", F.row_number().over(first)).where((F.col("_n") == 1) & (F.col("vt") == PUT)).drop("_n")
 
 
-def multi_get(log: DataFrame, probes: DataFrame, bucket: int = BUCKET_SEQS) -> DataFrame:
+def multi_get(log: DataFrame, probes: DataFrame, bucket: int = BUCKET_SEQS, newest_seq: int | None = None) -> DataFrame:
     """For each probe (``probe_id``, ``key``, ``snapshot_seq``) the newest version at or below its snapshot.
 
     Adds ``seq``, ``vt`` and ``value`` of that version and ``status``: ``found``, ``deleted`` or ``missing``; a null snapshot reads the
     newest.  Log and probes meet in one sorted pass, not in a join of all pairs; a key with very many versions is
-    spread over buckets of its sequence numbers, and each bucket gets the last version before it.
+    spread over buckets of its sequence numbers, and each bucket gets the last version before it.  However many probes ask the same, it is asked
+    once: the answers, a written table, are joined back.  ``newest_seq`` is the log's greatest sequence number where the caller knows it.
     """
     at = F.floor(F.col("seq") / bucket).cast("long").alias("_b")
-    newest_seq = log.agg(F.max("seq")).first()[0] or 0
+    newest_seq = newest_seq if newest_seq is not None else log.agg(F.max("seq")).first()[0] or 0
     top = F.lit(newest_seq).cast("long")
-    version = F.struct("seq", "vt", "value")
-    rows = log.select("key", "seq", at, F.lit(0).alias("_kind"), version.alias("_v"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.lit(None).cast("long").alias("snapshot_seq"))
     limit = F.least(F.coalesce(F.col("snapshot_seq"), top), top)
-    asks = probes.select("key", limit.alias("seq"), F.floor(limit / bucket).cast("long").alias("_b"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"), "probe_id", "snapshot_seq")
+    version = F.struct("seq", "vt", "value")
+    rows = log.select("key", "seq", at, F.lit(0).alias("_kind"), version.alias("_v"))
+    asks = probes.select("key", limit.alias("seq")).distinct().select("key", "seq", at, F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"))
     seen = Window.partitionBy("key", "_b").orderBy("seq", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.unionByName(asks).withColumn("_hit", F.last("_v", ignorenulls=True).over(seen)).where(F.col("_kind") == 1)
     if newest_seq < bucket:  # one bucket: nothing to carry into it
-        return _answers(local.withColumn("_v", F.col("_hit")))
-    ends = log.select("key", at, version.alias("_v")).groupBy("key", "_b").agg(F.max_by("_v", F.col("_v.seq")).alias("_end"))
-    wanted = asks.select("key", "_b").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
-    line = ends.unionByName(wanted).groupBy("key", "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
-    earlier = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = line.withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).select("key", "_b", "_carry")
-    return _answers(local.join(carry, ["key", "_b"], "left").withColumn("_v", F.coalesce("_hit", "_carry")))
+        found = local.select("key", F.col("seq").alias("_limit"), F.col("_hit").alias("_v"))
+    else:
+        ends = log.select("key", at, version.alias("_v")).groupBy("key", "_b").agg(F.max_by("_v", F.col("_v.seq")).alias("_end"))
+        wanted = asks.select("key", "_b").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
+        line = ends.unionByName(wanted).groupBy("key", "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
+        earlier = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = line.withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).select("key", "_b", "_carry")
+        found = local.join(carry, ["key", "_b"], "left").select("key", F.col("seq").alias("_limit"), F.coalesce("_hit", "_carry").alias("_v"))
+    asked = probes.select("probe_id", "key", "snapshot_seq", limit.alias("_limit"))
+    return _answers(asked.join(written(found, "answers"), ["key", "_limit"], "left"))
 
 
 def _answers(found: DataFrame) -> DataFrame:
@@ -89,12 +94,13 @@ def layered_get(layers: list[DataFrame], probes: DataFrame) -> DataFrame:
     return found.select("key", *[F.col(f"_v.`{c}`").alias(c) for c in rest])
 
 
-def history(log: DataFrame, bucket: int = BUCKET_SEQS) -> DataFrame:
+def history(log: DataFrame, bucket: int = BUCKET_SEQS, newest_seq: int | None = None) -> DataFrame:
     """Every version with ``next_seq``: it is visible from ``seq`` up to, not including, that; null for the newest.
 
     Sorted within a key's buckets; a bucket's last version gets its successor from the table of buckets.
     """
-    if (log.agg(F.max("seq")).first()[0] or 0) < bucket:  # one bucket
+    newest_seq = newest_seq if newest_seq is not None else log.agg(F.max("seq")).first()[0] or 0
+    if newest_seq < bucket:  # one bucket
         return log.withColumn("next_seq", F.lead("seq").over(Window.partitionBy("key").orderBy("seq")))
     rows = log.withColumn("_b", F.floor(F.col("seq") / bucket).cast("long"))
     first = rows.groupBy("key", "_b").agg(F.min("seq").alias("_first"))
@@ -143,10 +149,12 @@ def seek_many(state: DataFrame, targets: DataFrame, how: str = "ge") -> DataFram
 
     if how not in ("ge", "lt"):
         raise ValueError(f"unknown seek {how!r}")
-    keys = state.select(F.col("key").alias("k"), F.lit(1 if how == "ge" else 0).alias("kind"), F.lit(None).cast("string").alias("target"), F.col("key").alias("hit"))
-    asks = targets.select(F.col("target").alias("k"), F.lit(0 if how == "ge" else -1).alias("kind"), F.col("target").cast("string").alias("target"), F.lit(None).cast(state.schema["key"].dataType).alias("hit"))
+    kind = state.schema["key"].dataType
+    targets = targets.select(F.col("target").cast(kind).alias("target"))
+    keys = state.select(F.col("key").alias("k"), F.lit(1 if how == "ge" else 0).alias("kind"), F.lit(None).cast(kind).alias("target"), F.col("key").alias("hit"))
+    asks = targets.select(F.col("target").alias("k"), F.lit(0 if how == "ge" else -1).alias("kind"), F.col("target"), F.lit(None).cast(kind).alias("hit"))
     # ge: targets stand before equal keys and look ahead; lt: they stand before equal keys and look back.
-    run = in_order(keys.unionByName(asks), F.col("k"), F.col("kind"))
+    run = in_order(written(keys.unionByName(asks), "seek"), F.col("k"), F.col("kind"))
     own = Window.partitionBy("part").orderBy("at")
     if how == "ge":
         near = F.first("hit", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))

@@ -9,9 +9,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import shared_prefix, shortest_separator, varint_length
-from ..functions.tables import in_order, with_previous
+from ..functions.tables import in_order, with_previous, written
 
 RESTART_INTERVAL = 16
 BLOCK_BYTES = 4096
@@ -28,8 +29,8 @@ def sorted_run(entries: DataFrame, interval: int = RESTART_INTERVAL, file_entrie
     run = run.withColumn("file_no", F.floor((F.col("pos") - 1) / file_entries).cast("long")).withColumn("in_file", ((F.col("pos") - 1) % file_entries).cast("long"))
     run = run.withColumn("restart", F.col("in_file") % interval == 0)
     run = run.withColumn("shared", F.when(F.col("restart"), 0).otherwise(shared_prefix(F.col("key"), F.col("prev_key"))).cast("long"))
-    own = F.length("key") - F.col("shared")
-    return run.withColumn("entry_bytes", (varint_length(F.col("shared")) + varint_length(own) + varint_length(F.length("value")) + own + F.length("value")).cast("long"))
+    own, value = F.octet_length("key") - F.col("shared"), F.octet_length("value")
+    return run.withColumn("entry_bytes", (varint_length(F.col("shared")) + varint_length(own) + varint_length(value) + own + value).cast("long"))
 
 
 def order_violations(run: DataFrame) -> DataFrame:
@@ -43,6 +44,8 @@ def cut_blocks(run: DataFrame, block_bytes: int = BLOCK_BYTES, size: str = "entr
 
     The cut is greedy, so a file is folded in order, all files in parallel; a file is as large as an option allows.
     """
+    schema = T.StructType([*run.schema.fields, T.StructField("block_no", T.LongType())])
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("in_file")
         used, block, out = 0, 0, []
@@ -51,10 +54,9 @@ def cut_blocks(run: DataFrame, block_bytes: int = BLOCK_BYTES, size: str = "entr
             used += n
             if used >= block_bytes:
                 used, block = 0, block + 1
-        return pd.DataFrame({"file_no": pdf["file_no"], "in_file": pdf["in_file"], "block_no": out})
+        return pdf.assign(block_no=out)
 
-    cut = run.select("file_no", "in_file", size).groupBy("file_no").applyInPandas(fold, "file_no long, in_file long, block_no long")
-    return run.join(cut, ["file_no", "in_file"])
+    return run.groupBy("file_no").applyInPandas(fold, schema)
 
 
 def block_index(blocks: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def block_index(blocks: DataFrame) -> DataFrame:
     offset = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     following = F.lead("first_key").over(w)
     rows = rows.withColumn("offset", offset).withColumn("_next", following)
-    return rows.withColumn("separator", F.when(F.col("_next").isNull(), F.col("last_key")).otherwise(shortest_separator(F.col("last_key"), F.col("_next")))).drop("_next")
+    return rows.withColumn("separator", F.when(F.col("_next").isNull(), F.col("last_key")).otherwise(shortest_separator(F.col("last_key"), F.col("_next")).cast(blocks.schema["key"].dataType))).drop("_next")
 
 
 def restored(run: DataFrame) -> DataFrame:
@@ -76,29 +78,28 @@ def restored(run: DataFrame) -> DataFrame:
 
     A restart group is folded alone; it has as many entries as the restart interval.
     """
-    group = run.withColumn("_g", F.floor((F.col("in_file")) / RESTART_INTERVAL))
-    rest = F.struct("in_file", "key", "shared", F.expr("substring(key, cast(shared + 1 as int), length(key))").alias("tail"))
+    kind = run.schema["key"].dataType
+    group = run.withColumn("_g", F.floor((F.col("in_file")) / RESTART_INTERVAL)).withColumn("key", F.col("key").cast("binary"))
+    rest = F.struct("in_file", "key", "shared", F.expr("substring(key, cast(shared + 1 as int), octet_length(key))").alias("tail"))
     rows = group.groupBy("file_no", "_g").agg(F.sort_array(F.collect_list(rest)).alias("rows"))
 
     def step(acc: Column, row: Column) -> Column:
-        key = F.concat(F.substring(F.coalesce(F.element_at(acc, -1)["rebuilt"], F.lit("")), F.lit(1), row["shared"].cast("int")), row["tail"])
-        return F.concat(acc, F.array(F.struct(row["key"].alias("key"), key.alias("rebuilt"))))
+        key = F.concat(F.substring(acc["last"], F.lit(1), row["shared"].cast("int")), row["tail"])
+        return F.struct(key.alias("last"), F.concat(acc["out"], F.array(F.struct(row["key"].alias("key"), key.alias("rebuilt")))).alias("out"))
 
-    empty = F.array().cast("array<struct<key:string,rebuilt:string>>")
-    # element_at on an empty array is an error in ANSI mode: the first row begins the array by itself.
-    first = F.get("rows", 0)
-    begin = F.array(F.struct(first["key"].alias("key"), first["tail"].alias("rebuilt")))
-    folded = F.when(F.size("rows") == 0, empty).otherwise(F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), begin, step))
-    return rows.select(F.explode(folded).alias("e")).select("e.key", "e.rebuilt")
+    begin = F.struct(F.lit(b"").alias("last"), F.array().cast("array<struct<key:binary,rebuilt:binary>>").alias("out"))
+    folded = F.aggregate("rows", begin, step, lambda acc: acc["out"])
+    return rows.select(F.explode(folded).alias("e")).select(F.col("e.key").cast(kind).alias("key"), F.col("e.rebuilt").cast(kind).alias("rebuilt"))
 
 
 def lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe (``key``) the block that may hold it: of the files' blocks, that with the least last key not below it.
 
-    Blocks are few beside entries: one for each few kilobytes.  Both sides are sorted together by range.
+    Blocks are few beside entries: one for each few kilobytes.  Both sides are sorted together by range.  The index is written once, as it is read three times.
     """
     from .reads import seek_many
 
+    index = written(index, "index")
     ends = index.select(F.col("last_key").alias("key"))
     landed = seek_many(ends, probes.select(F.col("key").alias("target")).distinct(), "ge")
     place = index.select("file_no", "block_no", "first_key", "last_key")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, keys
-from ..functions.tables import in_order, shared_dir
+from ..functions.tables import in_order, shared_dir, with_previous, written
 from ..operators import batches, compaction, manifest, reads, runs
 from ..sources import tables, wal
 from ..streaming import ingest
@@ -157,12 +157,12 @@ def multi_get_missing(spark, d):
     return reads.multi_get(log(spark, d), probes).drop("snapshot_seq")
 
 
-@query(f"""WITH {_OPLOG}, layered AS (SELECT *, CASE WHEN seq > 8000 THEN 0 WHEN seq > 4000 THEN 1 ELSE 2 END AS layer FROM oplog WHERE user_id % 3 = 0),
+@query(f"""WITH {_OPLOG}, layered AS (SELECT *, CASE WHEN seq > 8000 THEN 0 WHEN seq > 4000 THEN 1 ELSE 2 END AS layer FROM oplog),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY layer, seq DESC) AS rn FROM layered) SELECT key, seq, vt, value, layer FROM ranked WHERE rn = 1""")
 def layered_get(spark, d):
     every = log(spark, d)
     seq = F.col("seq")
-    probes = oplog(spark, d).where("user_id % 3 = 0").select("key")
+    probes = every.select("key").distinct()
     return reads.layered_get([every.where(seq > 8000), every.where((seq > 4000) & (seq <= 8000)), every.where(seq <= 4000)], probes)
 
 
@@ -292,7 +292,7 @@ def varint_len(spark, d):
 
 @query(f"WITH {_OPLOG}, k AS (SELECT DISTINCT key FROM oplog) SELECT key, CASE WHEN key = '' THEN '' ELSE chr(ascii(substring(key, 1, 1)) + 1) END AS successor FROM k")
 def short_successor(spark, d):
-    return log(spark, d).select("key").distinct().select("key", keys.short_successor(F.col("key")).alias("successor"))
+    return log(spark, d).select("key").distinct().select("key", keys.short_successor(F.col("key")).cast("string").alias("successor"))
 
 
 @query("SELECT o_orderkey, greatest(1024, least(4194304, o_orderkey * 700)) AS block_size FROM orders")
@@ -306,7 +306,13 @@ def lcg_sequence(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("seed")).distinct().select("seed", keys.park_miller(F.col("seed"), F.lit(20)).alias("value"))
 
 
-@query()
+_CRC = f"""bits AS (SELECT i AS n, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, {codec.CASTAGNOLI_REVERSED}) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+steps AS MATERIALIZED (SELECT n, c FROM bits WHERE k = 8),
+r AS (SELECT seq, value, 0 AS i, 4294967295 AS c FROM oplog WHERE value IS NOT NULL
+  UNION ALL SELECT seq, value, i + 1, xor(steps.c, r.c // 256) FROM r JOIN steps ON steps.n = xor(r.c, ascii(substring(value, i + 1, 1))) % 256 WHERE i < strlen(value))"""
+
+
+@query(f"""WITH RECURSIVE {_OPLOG}, {_CRC} SELECT seq, CAST(xor(c, 4294967295) AS BIGINT) AS crc32c FROM r WHERE i = strlen(value) UNION ALL SELECT seq, NULL FROM oplog WHERE value IS NULL""")
 def crc32c_values(spark, d):
     @F.pandas_udf("long")
     def crc(values: pd.Series) -> pd.Series:
@@ -315,6 +321,180 @@ def crc32c_values(spark, d):
     return log(spark, d).select("seq", crc("value").alias("crc32c"))
 
 
+_RANDOM = """WITH RECURSIVE seeds AS (SELECT DISTINCT user_id AS seed FROM events), r AS (SELECT seed, 0 AS i, CASE WHEN seed = 0 THEN 1 ELSE seed END AS s FROM seeds
+  UNION ALL SELECT seed, i + 1, s * 16807 % 2147483647 FROM r WHERE i < 20)"""
+
+
+@query(f"{_RANDOM} SELECT seed, s % 1000 AS value FROM r WHERE i = 20")
+def uniform_sequence(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("seed")).distinct().select("seed", keys.uniform(F.col("seed"), F.lit(20), F.lit(1000)).alias("value"))
+
+
+@query(f"{_RANDOM} SELECT a.seed, b.s % CAST(pow(2, a.s % 11) AS BIGINT) AS value FROM r a JOIN r b USING (seed) WHERE a.i = 19 AND b.i = 20")
+def skewed_sequence(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("seed")).distinct().select("seed", keys.skewed(F.col("seed"), F.lit(10), 10).alias("value"))
+
+
+def _varint_sql(v: str) -> str:
+    return f"array_to_string(list_transform(range({_vlen(v)}), lambda j: printf('%02x', (({v}) >> (7 * j)::INT) & 127 | CASE WHEN j + 1 < {_vlen(v)} THEN 128 ELSE 0 END)), '')"
+
+
+def _fixed_sql(v: str, n: int) -> str:
+    return f"array_to_string(list_transform(range({n}), lambda j: printf('%02x', (({v}) >> (8 * j)::INT) & 255)), '')"
+
+
+def _coded(df: DataFrame, f, schema: str) -> DataFrame:
+    """Rows made of rows by a function of the byte formats, a batch at a time."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([f(r) for r in pdf.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.mapInPandas(run, schema)
+
+
+@query(f"WITH {_OPLOG}, v AS (SELECT seq, seq * seq * seq * 1000 AS v FROM oplog) SELECT seq, {_varint_sql('v')} AS coded, v AS decoded, {_vlen('v')} AS n FROM v")
+def varint_bytes(spark, d):
+    def code(r):
+        raw = codec.put_varint(r.v)
+        value, at = codec.get_varint(raw + b"rest")
+        return r.seq, raw.hex(), value, at
+
+    return _coded(log(spark, d).select("seq", (F.col("seq") * F.col("seq") * F.col("seq") * 1000).alias("v")), code, "seq long, coded string, decoded long, n int")
+
+
+@query(f"WITH {_OPLOG}, v AS (SELECT seq, seq * 40503 % 4294967296 AS a, seq * seq * 1000003 AS b FROM oplog) SELECT seq, {_fixed_sql('a', 4)} AS fixed32, {_fixed_sql('b', 8)} AS fixed64, a, b FROM v")
+def fixed_bytes(spark, d):
+    def code(r):
+        a, b = codec.put_fixed32(r.a), codec.put_fixed64(r.b)
+        return r.seq, a.hex(), b.hex(), codec.get_fixed32(a), codec.get_fixed64(b)
+
+    rows = log(spark, d).select("seq", (F.col("seq") * 40503 % 4294967296).alias("a"), (F.col("seq") * F.col("seq") * 1000003).alias("b"))
+    return _coded(rows, code, "seq long, fixed32 string, fixed64 string, a long, b long")
+
+
+def _hex(x: str) -> str:
+    return f"lower(hex(encode({x})))"
+
+
+@query(f"WITH {_OPLOG} SELECT seq, {_varint_sql('strlen(key)')} || {_hex('key')} || {_varint_sql('coalesce(strlen(value), 0)')} || {_hex("coalesce(value, '')")} AS coded, key, coalesce(value, '') AS value FROM oplog")
+def slice_bytes(spark, d):
+    def code(r):
+        raw = codec.put_slice(r.key.encode()) + codec.put_slice((r.value or "").encode())
+        key, at = codec.get_slice(raw)
+        value, _ = codec.get_slice(raw, at)
+        return r.seq, raw.hex(), key.decode(), value.decode()
+
+    return _coded(log(spark, d).select("seq", "key", "value"), code, "seq long, coded string, key string, value string")
+
+
+@query(f"WITH {_OPLOG} SELECT seq, {_hex('key')} || {_fixed_sql('seq * 256 + vt', 8)} AS coded, key, vt FROM oplog")
+def internal_key_bytes(spark, d):
+    def code(r):
+        raw = codec.encode_internal(r.key.encode(), r.seq, r.vt)
+        key, seq, vt = codec.decode_internal(raw)
+        return seq, raw.hex(), key.decode(), vt
+
+    return _coded(log(spark, d).select("seq", "key", "vt"), code, "seq long, coded string, key string, vt int")
+
+
+@query(f"""WITH {_OPS}, parts AS (SELECT *, CASE WHEN vt = 1 THEN '01' ELSE '00' END || {_varint_sql('strlen(key)')} || {_hex('key')} || CASE WHEN vt = 1 THEN {_varint_sql('strlen(value)')} || {_hex('value')} ELSE '' END AS part FROM ops)
+SELECT batch_id, {_fixed_sql('batch_id * 10 + 1', 8)} || {_fixed_sql('count(*)', 4)} || string_agg(part, '' ORDER BY i) AS coded FROM parts GROUP BY batch_id""")
+def batch_bytes(spark, d):
+    def code(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"batch_id": [pdf["batch_id"].iloc[0]], "coded": [_batch(pdf).contents().hex()]})
+
+    return ops(spark, d).groupBy("batch_id").applyInPandas(code, "batch_id long, coded string")
+
+
+def _batch(pdf: pd.DataFrame) -> codec.WriteBatch:
+    b = codec.WriteBatch()
+    for r in pdf.sort_values("i").itertuples():
+        b = b.put(r.key.encode(), r.value.encode()) if r.vt else b.delete(r.key.encode())
+    b.sequence = int(pdf["batch_id"].iloc[0]) * 10 + 1
+    return b
+
+
+@query(f"WITH {_OPS} SELECT key, batch_id * 10 + i + 1 AS seq, vt, value FROM ops")
+def batch_iterate(spark, d):
+    """The batches as the bytes of a log, and back to rows."""
+    def code(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"payload": [_batch(pdf).contents()]})
+
+    rows = wal.batches_of(ops(spark, d).groupBy("batch_id").applyInPandas(code, "payload binary"))
+    return rows.where("error is null").select(F.col("key").cast("string").alias("key"), "seq", F.col("vt").cast("int").alias("vt"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 7 THEN o_orderkey % 10 END AS level, CASE WHEN o_orderkey % 10 >= 7 THEN 'level out of range' END AS error FROM orders")
+def edit_levels(spark, d):
+    def code(r):
+        try:
+            (level, _), = codec.decode_edit(codec.encode_edit({"deleted_files": [(r.level, 5)]}))["deleted_files"]
+            return r.o_orderkey, level, None
+        except codec.Corruption as e:
+            return r.o_orderkey, None, e.message
+
+    return _coded(table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 10).alias("level")), code, "o_orderkey long, level int, error string")
+
+
+_DIGESTS = "digests AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h, lead(md5(CAST(event_id AS VARCHAR))) OVER (ORDER BY md5(CAST(event_id AS VARCHAR))) AS g FROM events)"
+_BYTE = "list_position(list_transform(range(256), lambda j: printf('%02x', j)), substring({x}, 2 * ({i}) + 1, 2)) - 1"
+
+
+@query(f"""WITH {_DIGESTS}, n AS (SELECT *, (SELECT min(j) FROM range(16) t(j) WHERE substring(h, 2 * j + 1, 2) <> substring(g, 2 * j + 1, 2)) AS n FROM digests WHERE g IS NOT NULL),
+b AS (SELECT *, {_BYTE.format(x='h', i='n')} AS bh, {_BYTE.format(x='g', i='n')} AS bg FROM n)
+SELECT event_id, n AS shared, CASE WHEN bh < 255 AND bh + 1 < bg THEN substring(h, 1, 2 * n) || printf('%02x', bh + 1) ELSE h END AS separator FROM b""")
+def binary_separator(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.unhex(F.md5(F.col("event_id").cast("string"))).alias("key"))
+    following = with_previous(in_order(rows, F.col("key").desc()), "key", "next").where("next is not null")
+    sep = keys.shortest_separator(F.col("key"), F.col("next"))
+    return following.select("event_id", keys.shared_prefix(F.col("key"), F.col("next")).cast("long").alias("shared"), F.lower(F.hex(sep)).alias("separator"))
+
+
+@query(f"""WITH k AS (SELECT event_id, repeat('ff', (event_id % 4)::INT) || CASE WHEN event_id % 5 = 0 THEN '' ELSE substring(md5(CAST(event_id AS VARCHAR)), 1, 6) END AS h FROM events),
+n AS (SELECT *, (SELECT min(j) FROM range(len(h) // 2) t(j) WHERE substring(h, 2 * j + 1, 2) <> 'ff') AS n FROM k)
+SELECT event_id, CASE WHEN n IS NULL THEN h ELSE substring(h, 1, 2 * n) || printf('%02x', {_BYTE.format(x='h', i='n')} + 1) END AS successor FROM n""")
+def binary_successor(spark, d):
+    tail = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.substring(F.md5(F.col("event_id").cast("string")), 1, 6))
+    rows = table(spark, d, "events").select("event_id", F.unhex(F.concat(F.repeat(F.lit("ff"), (F.col("event_id") % 4).cast("int")), tail)).alias("key"))
+    return rows.select("event_id", F.lower(F.hex(keys.short_successor(F.col("key")))).alias("successor"))
+
+
+_SEEKS = "state AS (SELECT DISTINCT md5(CAST(user_id AS VARCHAR)) AS key FROM events), asked AS (SELECT DISTINCT md5(CAST(c_custkey AS VARCHAR)) AS target FROM customer)"
+
+
+def _binary_seek(spark, d, how: str) -> DataFrame:
+    h = lambda name, c: table(spark, d, name).select(F.unhex(F.md5(F.col(c).cast("string"))).alias("k")).distinct()
+    found = reads.seek_many(h("events", "user_id").withColumnRenamed("k", "key"), h("customer", "c_custkey").withColumnRenamed("k", "target"), how)
+    return found.select(*[F.lower(F.hex(c)).alias(c) for c in ("target", "found")])
+
+
+@query(f"WITH {_SEEKS} SELECT target, (SELECT min(key) FROM state WHERE key >= target) AS found FROM asked")
+def binary_seek_ge(spark, d):
+    return _binary_seek(spark, d, "ge")
+
+
+@query(f"WITH {_SEEKS} SELECT target, (SELECT max(key) FROM state WHERE key < target) AS found FROM asked")
+def binary_seek_lt(spark, d):
+    return _binary_seek(spark, d, "lt")
+
+
+@query(f"WITH {_LATEST}, none AS (SELECT * FROM state WHERE key > '~') SELECT (SELECT count(*) FROM none) AS n_rows, (SELECT min(key) FROM none WHERE key >= '0') AS seek_ge, (SELECT max(key) FROM none) AS last_key, (SELECT count(*) FROM none WHERE key = '00000042') AS n_found")
+def empty_source(spark, d):
+    """Every kind of read of a source without entries."""
+    none = written(log(spark, d).where("key > '~'"), "none")
+    state = reads.scan(none)
+    ask = spark.range(1).select(F.lit("0").alias("target"))
+    rows = state.agg(F.count("*").alias("n_rows"))
+    seek = reads.seek_many(reads.latest(none), ask, "ge").select(F.col("found").alias("seek_ge"))
+    last = reads.seek(state, None, "last").agg(F.max("key").alias("last_key"))
+    found = reads.get(none, "00000042").agg(F.count("*").alias("n_found"))
+    out = rows
+    for one in (seek, last, found):  # each has one row
+        out = out.join(F.broadcast(one))
+    return out
+
+
 # Runs and blocks
 
 
@@ -480,24 +660,34 @@ def grandparent_overlap(spark, d):
     return manifest.overlap_bytes(files.where("level = 0"), files, 2)
 
 
-@query(f"WITH {_FILES}, b AS ({_below(1, 1)}) SELECT level, number, n_files = 0 AS trivial FROM b")
-def trivial_move(spark, d):
+#: The files without the larger ones of level 1, so that there are gaps, and a limit that two files of level 2 pass.
+_GAPS = f"""{_FILES}, gaps AS (SELECT * FROM files WHERE level <> 1 OR file_size * (SELECT count(*) FROM files WHERE level = 1) <= (SELECT sum(file_size) FROM files WHERE level = 1)),
+bound AS (SELECT max(file_size) AS most FROM files WHERE level = 2)"""
+_RANGES = "ranges AS (SELECT user_id // 7 AS number, min(key) AS lo, max(key) AS hi FROM oplog GROUP BY 1)"
+_MET = """SELECT i.number, count(f.number) FILTER (WHERE f.level = 1) AS n1, count(f.number) FILTER (WHERE f.level = 2) AS n2, coalesce(sum(f.file_size) FILTER (WHERE f.level = 2), 0) AS beneath
+  FROM {of} i LEFT JOIN gaps f ON f.level > 0 AND f.lo <= i.hi AND f.hi >= i.lo GROUP BY i.number"""
+
+
+def _gaps(spark, d) -> tuple[DataFrame, int]:
     files = level_files(spark, d)
-    below, beneath = manifest.overlap_bytes(files.where("level = 1"), files, 1), manifest.overlap_bytes(files.where("level = 1"), files, 2).select("number", F.col("n_bytes").alias("beneath"))
-    return below.join(beneath, "number").select("level", "number", ((F.col("n_files") == 0) & (F.col("beneath") <= 10 * (2 << 20))).alias("trivial"))
+    one = files.where("level = 1").agg(F.count("*"), F.sum("file_size")).first()
+    return files.where((F.col("level") != 1) | (F.col("file_size") * one[0] <= one[1])), files.where("level = 2").agg(F.max("file_size")).first()[0]
 
 
-_RANGES = "ranges AS (SELECT 0 AS level, user_id // 7 AS number, min(key) AS lo, max(key) AS hi FROM oplog GROUP BY 2)"
+@query(f"""WITH {_GAPS}, l0 AS (SELECT * FROM files WHERE level = 0), b AS ({_MET.format(of="l0")}) SELECT number, n1 = 0 AND beneath <= most AS trivial FROM b, bound""")
+def trivial_move(spark, d):
+    files, most = _gaps(spark, d)
+    below, beneath = (manifest.overlap_bytes(files.where("level = 0"), files, n).select("number", F.col("n_files").alias(f"n{n}"), F.col("n_bytes").alias(f"b{n}")) for n in (1, 2))
+    return below.join(beneath, "number").select("number", ((F.col("n1") == 0) & (F.col("b2") <= most)).alias("trivial"))
 
 
-@query(f"""WITH {_FILES}, {_RANGES}, f AS (SELECT * FROM files WHERE level = 2 OR (level = 1 AND number % 3 = 0)), b AS (SELECT r.number, count(f.number) FILTER (WHERE f.level = 1) AS n1, count(f.number) FILTER (WHERE f.level = 2) AS n2
-  FROM ranges r LEFT JOIN f ON f.lo <= r.hi AND f.hi >= r.lo GROUP BY r.number) SELECT number, CASE WHEN n1 > 0 THEN 0 WHEN n2 > 0 THEN 1 ELSE 2 END AS level FROM b""")
+@query(f"""WITH {_GAPS}, {_RANGES}, b AS ({_MET.format(of="ranges")}) SELECT number, CASE WHEN n1 > 0 OR beneath > most THEN 0 WHEN n2 > 0 THEN 1 ELSE 2 END AS level FROM b, bound""")
 def flush_level(spark, d):
-    files = level_files(spark, d).where("level = 2 or (level = 1 and number % 3 = 0)")
+    files, most = _gaps(spark, d)
     ranges = oplog(spark, d).groupBy(F.floor(F.col("user_id") / 7).cast("long").alias("number")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).withColumn("level", F.lit(0))
     one = manifest.overlap_bytes(ranges, files, 1).select("number", F.col("n_files").alias("n1"))
     two = manifest.overlap_bytes(ranges, files, 2).select("number", F.col("n_files").alias("n2"), "n_bytes")
-    level = F.when((F.col("n1") > 0) | (F.col("n_bytes") > 10 * (2 << 20)), 0).when(F.col("n2") > 0, 1).otherwise(2)
+    level = F.when((F.col("n1") > 0) | (F.col("n_bytes") > most), 0).when(F.col("n2") > 0, 1).otherwise(2)
     return one.join(two, "number").select("number", level.alias("level"))
 
 
@@ -508,6 +698,18 @@ def merge_compaction(spark, d):
     return compaction.merge([every.where(seq > 8000), every.where((seq > 4000) & (seq <= 8000)), every.where(seq <= 4000)], SNAPSHOTS)
 
 
+_CHAIN = f"""{_OPLOG}, placed AS (SELECT key, seq, (row_number() OVER (ORDER BY key, seq DESC) - 1) // 7 AS number FROM oplog),
+chained AS (SELECT number, min(key) AS lo, max_by(seq, struct_pack(a := -rank, b := seq)) AS lo_seq, max(key) AS hi FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY key, seq DESC) AS rank FROM placed) GROUP BY number)"""
+
+
+@query(f"""WITH {_CHAIN}, b AS (SELECT *, lag(hi) OVER (ORDER BY number) AS before FROM chained), i AS (SELECT *, sum(CASE WHEN before = lo THEN 0 ELSE 1 END) OVER (ORDER BY number) AS island FROM b)
+SELECT number, max(number) OVER (PARTITION BY island) AS last_number, max(number) OVER (PARTITION BY island) - number + 1 AS n_files FROM i""")
+def boundary_inputs(spark, d):
+    placed = in_order(log(spark, d).select("key", "seq"), F.col("key"), F.col("seq").desc()).withColumn("number", F.floor((F.col("pos") - 1) / 7).cast("long"))
+    files = placed.groupBy("number").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("seq", "pos").alias("lo_seq"))
+    return manifest.boundary_closure(files)
+
+
 _SOME_EDITS = "edits AS (SELECT event_id AS edit_no, user_id % 3 AS level, event_id % 700 AS number, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END AS what, strlen(props) AS size FROM events)"
 
 
@@ -518,6 +720,24 @@ def version_fold(spark, d):
     return tables.fold_edits(edits)
 
 
+@query(f"WITH {_SOME_EDITS}, r AS (SELECT *, row_number() OVER (PARTITION BY level, number ORDER BY edit_no DESC) AS rn FROM edits) SELECT level, number, edit_no, size FROM r WHERE rn = 1 AND what = 'add'")
+def edit_roundtrip(spark, d):
+    """The same edits as the bytes of a manifest log, read back and folded."""
+    def code(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = (b"k", 1, 1)
+        records = []
+        for r in pdf.sort_values("event_id").itertuples():
+            file = (r.user_id % 3, r.event_id % 700)
+            records.append(codec.encode_edit({"last_sequence": r.event_id, "deleted_files": [file]} if r.event_type == "error" else {"last_sequence": r.event_id, "new_files": [(*file, len(r.props.encode()), key, key)]}))
+        return pd.DataFrame({"path": [str(pdf["part"].iloc[0])], "content": [wal.encode(records)]})
+
+    e = table(spark, d, "events").withColumn("part", F.floor(F.col("event_id") / 500).cast("long"))
+    found = tables.edits_of(e.groupBy("part").applyInPandas(code, "path string, content binary"))
+    numbered = found.where("what = 'last_sequence'").select("path", F.col("edit_no").alias("n"), F.col("number").alias("edit_no"))
+    edits = found.where("what in ('add', 'delete')").select("path", F.col("edit_no").alias("n"), "what", "level", "number", "size").join(numbered, ["path", "n"]).drop("path", "n")
+    return tables.fold_edits(edits)
+
+
 @query(f"""WITH {_FILES}, hit AS (SELECT *, sum(file_size) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM files WHERE level = 1 AND hi >= '00000015' AND lo <= '00000120')
 SELECT level, number FROM hit WHERE before IS NULL OR before < 200000""")
 def range_inputs(spark, d):
@@ -530,12 +750,24 @@ def next_file_number(spark, d):
     return level_files(spark, d).agg((F.max("number") + 1).alias("next_file_number"))
 
 
-@query("""WITH t AS (SELECT o_orderkey // 2000 AS file_no, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o_orderpriority AS value FROM orders)
-SELECT file_no, count(*) AS n_entries, CAST(sum(strlen(key)) AS BIGINT) AS key_bytes, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes, min(key) AS lo, max(key) AS hi FROM t GROUP BY file_no""")
+_TABLES = """WITH t AS (SELECT o_orderkey // 2000 AS file_no, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o_orderpriority AS value FROM orders)
+SELECT file_no, count(*) AS n_entries, CAST(sum(strlen(key)) AS BIGINT) AS key_bytes, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes, min(key) AS lo, max(key) AS hi FROM t GROUP BY file_no"""
+
+
+@query(_TABLES)
 def table_roundtrip(spark, d):
+    return _tables(spark, d, "none")
+
+
+@query(_TABLES)
+def table_roundtrip_snappy(spark, d):
+    return _tables(spark, d, "snappy")
+
+
+def _tables(spark, d, compression: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
-        got = codec.decode_table(codec.encode_table([(k.encode(), v.encode()) for k, v in zip(pdf["key"], pdf["value"], strict=True)]))
+        got = codec.decode_table(codec.encode_table([(k.encode(), v.encode()) for k, v in zip(pdf["key"], pdf["value"], strict=True)], compression=compression))
         found = {"n_entries": len(got), "key_bytes": sum(len(k) for _, k, _ in got), "value_bytes": sum(len(v) for _, _, v in got), "lo": got[0][1].decode(), "hi": got[-1][1].decode()}
         return pd.DataFrame({"file_no": [pdf["file_no"].iloc[0]]} | {k: [v] for k, v in found.items()})
 
@@ -598,6 +830,33 @@ def wal_corruption_report(spark, d):
     return _replayed(spark, d, damage=True)
 
 
+@query("SELECT event_id // 500 AS file_no, count(*) AS n_records, CAST(sum(strlen(props)) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS dropped_bytes, '' AS reason FROM events GROUP BY 1")
+def journal_roundtrip(spark, d):
+    """The other kind of log, whose checksums cover the type too, read strictly."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = wal.replay(wal.encode([p.encode() for p in pdf.sort_values("event_id")["props"]], wal.TYPE_AND_PAYLOAD), wal.TYPE_AND_PAYLOAD, strict=True)
+        return pd.DataFrame({"file_no": [pdf["file_no"].iloc[0]], "n_records": [len(got.records)], "n_bytes": [sum(len(r) for _, r in got.records)], "dropped_bytes": [got.dropped], "reason": [""]})
+
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("file_no"), "event_id", "props")
+    return e.groupBy("file_no").applyInPandas(run, "file_no long, n_records long, n_bytes long, dropped_bytes long, reason string")
+
+
+@query(f"""WITH RECURSIVE records AS (SELECT event_id // 500 AS file_no, event_id AS rec_no, CAST(strlen(props) * 20 AS BIGINT) AS size, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS rn FROM events),
+r AS (SELECT file_no, rec_no, size, rn, CAST(0 AS BIGINT) AS start, CAST({_end_sql("0", "size")} AS BIGINT) AS "end" FROM records WHERE rn = 1
+  UNION ALL SELECT n.file_no, n.rec_no, n.size, n.rn, r."end", CAST({_end_sql('r."end"', "n.size")} AS BIGINT) FROM r JOIN records n ON n.file_no = r.file_no AND n.rn = r.rn + 1),
+heads AS (SELECT *, start + CASE WHEN 32768 - start % 32768 < 7 THEN 32768 - start % 32768 ELSE 0 END AS head FROM r)
+SELECT file_no, count(*) AS n_records, CAST(sum(size) AS BIGINT) AS n_bytes, min(head) AS first_offset FROM heads WHERE head >= 50000 GROUP BY file_no""")
+def wal_initial_offset(spark, d):
+    """Logs read from byte 50,000 on: records that begin before it are left out."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = wal.replay(wal.encode([p.encode() * 20 for p in pdf.sort_values("event_id")["props"]]), start=50_000).records
+        out = {"file_no": [pdf["file_no"].iloc[0]], "n_records": [len(got)], "n_bytes": [sum(len(r) for _, r in got)], "first_offset": [got[0][0] if got else None]}
+        return pd.DataFrame(out) if got else pd.DataFrame({k: [] for k in out})
+
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("file_no"), "event_id", "props")
+    return e.groupBy("file_no").applyInPandas(run, "file_no long, n_records long, n_bytes long, first_offset long")
+
+
 # Streams
 
 

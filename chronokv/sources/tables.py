@@ -33,7 +33,12 @@ def read_tables(spark: SparkSession, path: str, verify: bool = True) -> DataFram
 
 
 def read_edits(spark: SparkSession, path: str) -> DataFrame:
-    """Version edits of the manifest logs at ``path``: path, edit_no, what (``add``, ``delete``, ``pointer``, ``error`` or a counter's name), and its values.
+    """Version edits of the manifest logs at ``path``, as :func:`edits_of` gives them."""
+    return edits_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def edits_of(files: DataFrame) -> DataFrame:
+    """Version edits of manifest logs given as ``path`` and ``content``: path, edit_no, what (``add``, ``delete``, ``pointer``, ``error`` or a counter's name), and its values.
 
     Columns level, number, size, lo, hi (user keys), text (comparator or error).
     """
@@ -61,7 +66,6 @@ def read_edits(spark: SparkSession, path: str) -> DataFrame:
                 rows += [(name, None, "error", None, None, None, None, None, why) for _, why in got.reports]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, edit_no long, what string, level int, number long, size long, lo binary, hi binary, text string")
 
 

@@ -86,12 +86,63 @@ def test_file_names(spark):
     assert {r.p: (r.n, r.t) for r in got} == names
 
 
+def plain_separator(a, b):
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if n < min(len(a), len(b)) and a[n] < 255 and a[n] + 1 < b[n]:
+        return n, a[:n] + bytes([a[n] + 1])
+    return n, a
+
+
+def plain_successor(a):
+    n = next((i for i, x in enumerate(a) if x != 255), None)
+    return a if n is None else a[:n] + bytes([a[n] + 1])
+
+
 def test_separators(spark):
-    rows = [("abc", "abf", "abd"), ("abc", "abd", "abc"), ("ab", "abc", "ab"), ("", "a", ""), ("a", "z9", "b"), ("abcdef", "abx", "abd")]
-    got = spark.createDataFrame(rows, "a string, b string, s string").select("a", "b", "s", keys.shortest_separator(F.col("a"), F.col("b")).alias("g"), keys.short_successor(F.col("a")).alias("n"), keys.shared_prefix(F.col("a"), F.col("b")).alias("k")).collect()
-    for r in got:
-        assert r.g == r.s and r.a <= r.g < r.b and r.n >= r.a
-        assert r.k == next((i for i, (x, y) in enumerate(zip(r.a, r.b, strict=False)) if x != y), min(len(r.a), len(r.b)))
+    r = random.Random(6)
+    some = lambda: bytes(r.choices([0, 1, 15, 127, 128, 200, 254, 255], k=r.randrange(6)))
+    rows = [(b"abc", b"abf"), (b"abc", b"abd"), (b"ab", b"abc"), (b"", b"a"), (b"abcdef", b"abx"), (b"\xff\xff", b"\xff\xff\x00"), ("é".encode(), "ü".encode())] + [tuple(sorted((some(), some()))) for _ in range(200)]
+    columns = keys.shortest_separator(F.col("a"), F.col("b")).alias("g"), keys.short_successor(F.col("a")).alias("n"), keys.shared_prefix(F.col("a"), F.col("b")).alias("k")
+    for x in spark.createDataFrame(rows, "a binary, b binary").select("a", "b", *columns).collect():
+        a, b, g, n = (bytes(c) for c in (x.a, x.b, x.g, x.n))
+        assert (x.k, g) == plain_separator(a, b) and n == plain_successor(a)
+        assert a <= g and (g < b or a == b) and n >= a
+    x = spark.createDataFrame([("naïve", "naöve")], "a string, b string").select(*columns).first()
+    assert (x.k, bytes(x.g)) == plain_separator("naïve".encode(), "naöve".encode())
+
+
+def test_runs_of_binary_keys(spark):
+    r = random.Random(11)
+    want = sorted({bytes(r.choices([0, 1, 10, 11, 12, 13, 14, 15, 128, 255], k=r.randrange(1, 7))) for _ in range(400)})
+    run = runs.sorted_run(spark.createDataFrame([(k, bytes(len(k))) for k in want], "key binary, value binary"), file_entries=90)
+    rows = run.orderBy("pos").collect()
+    assert [bytes(x.key) for x in rows] == want
+    for i, x in enumerate(rows):
+        shared = 0 if x.restart else plain_separator(want[i - 1], want[i])[0]
+        assert x.shared == shared and x.entry_bytes == 3 + 2 * len(want[i]) - shared
+    assert all(x.key == x.rebuilt for x in runs.restored(run).collect())
+    index = runs.block_index(runs.cut_blocks(run, 100)).orderBy("file_no", "block_no").collect()
+    for x, y in zip(index, index[1:], strict=False):
+        last, following = bytes(x.last_key), bytes(y.first_key)
+        assert bytes(x.separator) == (plain_separator(last, following)[1] if x.file_no == y.file_no else last)
+    probes = [bytes([c]) for c in (0, 0x80, 0xFE, 0xFF)] + want[::37]
+    found = {bytes(x.key): x for x in runs.lookup(runs.block_index(runs.cut_blocks(run, 100)), spark.createDataFrame([(k,) for k in probes], "key binary")).collect()}
+    for k in probes:
+        hit = next((x for x in index if bytes(x.last_key) >= k), None)
+        assert (found[k].file_no, found[k].block_no) == ((hit.file_no, hit.block_no) if hit else (None, None))
+
+
+def test_boundaries_as_the_planner_finds_them(spark):
+    r = random.Random(13)
+    entries = sorted({(b"%02d" % r.randrange(12), -r.randrange(1000)) for _ in range(120)})
+    cuts = sorted(r.sample(range(1, len(entries)), 40))
+    parts = [entries[a:b] for a, b in zip([0, *cuts], [*cuts, len(entries)], strict=True)]
+    files = [File(i, 1, (p[0][0], -p[0][1], 1), (p[-1][0], -p[-1][1], 1)) for i, p in enumerate(parts)]
+    planner = Planner([[], files])
+    rows = [(f.number, f.smallest[0], f.largest[0], f.smallest[1]) for f in files]
+    for x in manifest.boundary_closure(spark.createDataFrame(rows, "number long, lo binary, hi binary, lo_seq long")).collect():
+        closed = planner.with_boundary(1, [files[x.number]])
+        assert (x.n_files, x.last_number) == (len(closed), max(f.number for f in closed))
 
 
 def test_runs_rebuild_and_look_up(spark):

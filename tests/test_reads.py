@@ -105,3 +105,20 @@ def test_batches(spark):
         want[i] = at
         at += i % 4
     assert {r.batch_id: r.first_seq for r in batches.sequence_batches(many, group=7).collect()} == want
+
+
+def test_many_probes_ask_the_same(spark):
+    log = spark.createDataFrame([(b"a", 1, 1, b"x"), (b"a", 5, 0, None), (b"b", 3, 1, b"y")], "key binary, seq long, vt byte, value binary")
+    probes = spark.createDataFrame([(i, b"a", 4) for i in range(50)] + [(100, b"a", None), (101, b"b", 2), (102, b"b", 9), (103, None, 3)], "probe_id long, key binary, snapshot_seq long")
+    for bucket in (2, 1 << 20):
+        for newest in (None, 5):
+            got = {r.probe_id: (r.status, r.seq) for r in reads.multi_get(log, probes, bucket, newest).collect()}
+            assert got == {i: ("found", 1) for i in range(50)} | {100: ("deleted", 5), 101: ("missing", None), 102: ("found", 3), 103: ("missing", None)}
+
+
+def test_seeks_of_bytes(spark):
+    state = spark.createDataFrame([(bytes([c]),) for c in (1, 0x80, 0xFE)], "key binary")
+    targets = spark.createDataFrame([(bytes([c]),) for c in (0, 0x80, 0x81, 0xFE, 0xFF)], "target binary")
+    for how, want in (("ge", [1, 0x80, 0xFE, 0xFE, None]), ("lt", [None, 1, 0x80, 0x80, 0xFE])):
+        got = sorted((bytes(r.target), None if r.found is None else bytes(r.found)) for r in reads.seek_many(state, targets, how).collect())
+        assert got == [(bytes([t]), None if w is None else bytes([w])) for t, w in zip((0, 0x80, 0x81, 0xFE, 0xFF), want, strict=True)]
