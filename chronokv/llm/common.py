@@ -235,7 +235,7 @@ def screened(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFr
 
     word, bit = slot(key)
     marks = ids.select(word.alias(f"{name}w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("m")).groupBy(f"{name}w").agg(F.bit_or("m").alias(f"{name}m"))
-    marks = F.broadcast(written(marks, "screen"))
+    marks = F.broadcast(marks)
     there = F.call_function("shiftrightunsigned", F.coalesce(F.col(f"{name}m"), F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1)) == 1
     hit = F.col(key).isNotNull() & there
     both = df.join(marks, word == F.col(f"{name}w"), "left")

@@ -9,26 +9,28 @@ from pyspark.sql import functions as F
 
 from .common import column, larger, settle, unite, written
 
-#: Links that a task contracts at once.
-CHUNK = 1 << 18
+#: Links of whole numbers that a task contracts at once; where there are no more in all, the last task finds the components by itself.
+CHUNK = 1 << 20
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """node and root, its component's least node, for every node that has a link.
 
     ``links`` has columns a and b of one sortable type; loops, repeated links and nulls are ignored; no links give no rows.
-    Each round first contracts chunks of links within tasks, where ids are integers, so few rounds are left for the stars; a node
-    with very many links costs a partial minimum for each task, and as the minima are a written table, the join with them is one that
-    Spark splits where a node's links are too many for one task.  Each round is a written table, from which lost executors' work is resumed.
+    Links of integers are first contracted in chunks within tasks.  If at most ``CHUNK`` are left (16 MB), one task
+    does the rest; else rounds of stars do, each beginning with such a contraction.  In these a node with very many links costs a partial minimum for each task, and
+    as the minima are a written table, the join with them is one that Spark splits where a node's links are too many for one task.
+    Each round is a written table, from which lost executors' work is resumed.
     """
     plain = links.schema["a"].dataType.simpleString() in ("bigint", "int")
-    edges = written(_ordered(links), "links")
+    edges = _ordered(links)
+    edges = written(edges.mapInArrow(_contracted, edges.schema) if plain else edges, "links")
+    n = edges.count()
+    if plain and n <= chunk or not n:
+        edges = edges.repartition(1).mapInArrow(_contracted, edges.schema) if n else edges
+        return _hung(written(edges, "links"))
     seen = None
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
-        if plain:
-            edges = edges.mapInArrow(_contracted, edges.schema)
         # Large star: each node's greater neighbours go to the least of its neighbourhood.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
@@ -37,14 +39,20 @@ def components(links: DataFrame) -> DataFrame:
         pairs = written(_ordered(large), "links")
         low = written(pairs.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = pairs.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b"))
-        edges = written(_ordered(small), "links")
+        edges = _ordered(small)
+        edges = written(edges.mapInArrow(_contracted, edges.schema) if plain else edges, "links")
         # At the end every node hangs on its root alone: the sum over links no longer changes.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or now[0] == 0:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            return _hung(edges)
         seen = now
 
 
+def _hung(edges: DataFrame) -> DataFrame:
+    """node and root from links (root, node)."""
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
 def _contracted(batches):
     """Each chunk's links as stars around the least nodes of its own components."""
     for b in larger(batches, CHUNK):

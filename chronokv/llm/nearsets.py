@@ -120,7 +120,7 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
     Only documents that are in a pair have their texts shuffled and their sets built.  Joins are by merging at any size: pairs and sets grow with the
     table, so a plan that sends them to all tasks would not last.
     """
-    named = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "named")
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     few, _ = screened(docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs[text].alias("text")), named)
     d = few.join(named.hint("merge"), "doc_id", "left_semi")
 
@@ -186,8 +186,8 @@ def shared_prints(firsts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> D
     several = written(several if sure is None else several.union(sure), "several")
     low = F.xxhash64("rep").bitwiseAND(F.lit(0xFFFFFFFF))
     held = several.groupBy("p").agg(F.count("*").alias("c"), F.sum(low).alias("s"), F.sum(F.shiftrightunsigned(F.xxhash64("rep"), 32)).alias("t"))
-    one = written(held.groupBy("c", "s", "t").agg(F.min("p").alias("p")).select("p"), "one")
-    return written(several.join(one.hint("merge"), "p").select("p", "rep").distinct(), "live")
+    one = held.groupBy("c", "s", "t").agg(F.min("p").alias("p")).select("p")
+    return written(several.join(one.hint("merge"), "p").select("p", "rep"), "live")
 
 
 def may_link(x: bytes, y: bytes, n: int, m: int, similarity: float) -> bool:
@@ -284,13 +284,13 @@ def _round(live: DataFrame, sets: DataFrame, roots: DataFrame | None, pivots: in
     hands out the pairs of some pivots.  Of a print with more holders ``pivots``, those of the largest components first, are compared with all others.
     A pivot then leaves the print, as nothing in it is untested against it.
     """
-    if roots is None:
+    if roots is None:  # every holder stands alone
         rows = live.withColumn("root", F.col("rep")).withColumn("size", F.lit(1).cast("long"))
     else:
         sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").select(F.col("node").alias("rep"), "root", "size")
-        rows = live.join(written(sized, "sized").hint("merge"), "rep", "left").select("p", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
-    rows = written(rows, "rooted")
-    open_prints = written(rows.groupBy("p").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("p", "c"), "open")
+        rows = live.join(sized.hint("merge"), "rep", "left").select("p", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+        rows = written(rows, "rooted")
+    open_prints = rows.groupBy("p").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("p", "c")
     rows = rows.join(open_prints.hint("merge"), "p").join(sets.hint("merge"), "rep")
     rows = written(rows.select("p", "rep", "root", "size", "c", "n", "sketch"), "holders")
     tested = written(_tested(rows.where(F.col("c") <= group), pivots, similarity), "tested")
@@ -312,7 +312,7 @@ def _round(live: DataFrame, sets: DataFrame, roots: DataFrame | None, pivots: in
 
         near = near.union(both.mapInArrow(check, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rest = rest.union(large.join(chosen.select("p", F.col("m_rep").alias("rep")).hint("merge"), ["p", "rep"], "left_anti").select("p", "rep"))
-    return near.distinct(), written(rest, "live")
+    return near.distinct(), rest
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2, text: str = "text", group: int = GROUP) -> DataFrame:
@@ -333,7 +333,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     late = written(reps.where("doc_id != rep").select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_anti"), "late")
     firsts = without(rows, late)
     live = shared_prints(firsts.select("doc_id", "prints"), common)
-    sets = written(firsts.select(F.col("doc_id").alias("rep"), "n", "sketch").groupBy("rep").agg(F.min(F.struct("n", "sketch")).alias("s")).select("rep", "s.n", "s.sketch"), "sketches")
+    sets = firsts.select(F.col("doc_id").alias("rep"), "n", "sketch").groupBy("rep").agg(F.min(F.struct("n", "sketch")).alias("s")).select("rep", "s.n", "s.sketch")
     near, live = _round(live, sets, None, 1, similarity, group)
     if most:
         # A fingerprint is known by its least document; those of other sets with the same one are compared with it.

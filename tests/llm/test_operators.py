@@ -472,11 +472,15 @@ def test_tree_prunes_groups_and_loses_no_pair():
     assert list(tree.near(np.array([codes[0] ^ np.uint64((1 << 64) - 1)]), 0))[0][0].size == 0 and tree.met - before < 60
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 0])
+def test_components_of_a_long_chain_and_a_star(spark, chunk):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(5, 5), (None, 3), (101, 100)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(80)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(80)}
+    assert {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), chunk).collect()} == want
+    assert components(spark.createDataFrame([], "a long, b long"), chunk).count() == 0
+    if not chunk:
+        names = [tuple(None if x is None else f"{x:03d}" for x in r) for r in links]
+        assert {r.node: r.root for r in components(spark.createDataFrame(names, "a string, b string")).collect()} == {f"{n:03d}": f"{r:03d}" for n, r in want.items()}
 
 
 # Substrings
