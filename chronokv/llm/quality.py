@@ -19,8 +19,8 @@ from .common import U64, Words, column, in_batches, mix, pieces, windows, writte
 TRAIN_DOCS = 1000
 #: Share of a text's words that must stand in content lines.
 CONTENT_SHARE = 0.5
-#: Rounds in which the field's own labels become its targets, and the share of switches of each kind that is taken as seen.
-EM_ROUNDS, SWITCHES = 3, 0.01
+#: Steps of each round, after which the field's own beliefs become its targets, and the share of switches of each kind that is taken as seen.
+EM_STEPS, SWITCHES = (60, 30, 30), 0.01
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
 FEATURES = 24
@@ -160,11 +160,11 @@ class LineField:
         return label
 
     @staticmethod
-    def trained(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = EM_ROUNDS) -> LineField:
+    def trained(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: tuple[int, ...] = EM_STEPS) -> LineField:
         """Fit on documents, each its lines' features, their words and one label for all of them.
 
-        The lines' first targets come from a model of single lines that knows the documents' labels alone; from then on the field's best
-        sequences are the targets, so it learns from switches between content and boilerplate within documents.
+        The lines' first targets come from a model of single lines that knows the documents' labels alone; from then on the field's own
+        beliefs are the targets, so it learns from switches between content and boilerplate within documents.  ``rounds`` has the steps of each round.
         """
         docs = sorted((d for d in docs if len(d[0])), key=lambda d: -len(d[0]))
         if len({label for *_, label in docs}) < 2:
@@ -175,59 +175,67 @@ class LineField:
         label = np.array([label for *_, label in docs])
         doc = np.repeat(np.arange(len(n)), n)
         alone = _lines_alone(x, label[doc], doc, n)
-        target = _constrained(alone, words, doc, label)
-        for _ in range(rounds):
-            field = LineField._fitted(x, n, target)
-            target = _constrained(field.margins(x, n), words, doc, label)
+        # First lines of all documents, then second lines and so on: a step of the passes is a slice.
+        at = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((doc, at))
+        live = np.searchsorted(-n, -np.arange(n[0]), side="left")
+        x, words, doc = x[order], words[order], doc[order]
+        target = _constrained(alone[order], words, doc, label)
+        field = LineField(np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
+        for steps in rounds:
+            belief = field._fit(x, live, target, steps)
+            target = _constrained(np.log(belief[:, CONTENT] + 1e-300) - np.log(belief[:, BOILERPLATE] + 1e-300), words, doc, label)
         return field
 
-    def margins(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log-odds of content of each line, given all lines of its document; ``n`` doesn't ascend."""
-        both = np.add(*self._passes(x, n))
-        return both[:, CONTENT] - both[:, BOILERPLATE]
+    def _beliefs(self, x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each line's labels, and the expected number of each pair of neighbouring labels; line t of the documents is a slice of ``live[t]`` rows.
 
-    def _passes(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward and backward log-sums of each line and label."""
+        Forward and backward passes over probabilities, each line's scaled to a sum of one.
+        """
         score = x @ self.emit
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        live = np.searchsorted(-n, -np.arange(n[0]), side="left").tolist()
-        ahead, back = np.zeros((len(x), 2)), np.zeros((len(x), 2))
-        for t, k in enumerate(live):
-            at = first[:k] + t
-            ahead[at] = score[at] + (np.logaddexp.reduce(ahead[at - 1][:, :, None] + self.move, axis=1) if t else self.begin)
-        for t in range(len(live) - 2, -1, -1):
-            at = first[: live[t + 1]] + t
-            back[at] = np.logaddexp.reduce(self.move + (score[at + 1] + back[at + 1])[:, None, :], axis=2)
-        return ahead, back
-
-    @staticmethod
-    def _fitted(x: np.ndarray, n: np.ndarray, target: np.ndarray, steps: int = 80, rate: float = 0.3, decay: float = 1e-3) -> LineField:
-        """Gradient ascent on the mean log-likelihood of the lines' targets; ``n`` doesn't ascend."""
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        total = n.sum()
+        e = np.exp(score - score.max(axis=1, keepdims=True))
+        move = np.exp(self.move - self.move.max())
+        ends = np.cumsum(live).tolist()
+        begins = [0, *ends[:-1]]
+        ahead = np.empty_like(e)
+        now = e[: ends[0]] * np.exp(self.begin - self.begin.max())
+        ahead[: ends[0]] = now = now / now.sum(axis=1, keepdims=True)
+        for lo, hi in zip(begins[1:], ends[1:], strict=True):
+            now = (now[: hi - lo] @ move) * e[lo:hi]
+            now /= now.sum(axis=1, keepdims=True)
+            ahead[lo:hi] = now
+        back = np.ones_like(e)
+        pairs = np.zeros((2, 2))
+        for t in range(len(ends) - 1, 0, -1):
+            lo, hi, before = begins[t], ends[t], begins[t - 1]
+            ready = e[lo:hi] * back[lo:hi]
+            step = ready @ move.T
+            scale = (ahead[before : before + hi - lo] * step).sum(axis=1, keepdims=True)
+            pairs += (ahead[before : before + hi - lo] / scale).T @ ready
+            back[before : before + hi - lo] = step / step.sum(axis=1, keepdims=True)
+        belief = ahead * back
+        return belief / belief.sum(axis=1, keepdims=True), pairs * move
+
+    def _fit(self, x: np.ndarray, live: np.ndarray, target: np.ndarray, steps: int, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
+        """Gradient ascent from where the field stands on the mean log-likelihood of the lines' targets; the beliefs at its end."""
+        total, docs = len(x), int(live[0])
         truth = np.eye(2)[target]
-        inner = np.ones(total, bool)
-        inner[first] = False
-        to = np.flatnonzero(inner)
+        begins = np.concatenate([[0], np.cumsum(live)[:-1]])
+        after = np.arange(docs, total)
+        prior = after - np.repeat(begins[1:] - begins[:-1], live[1:])
         # A few switches of each kind are taken as seen, so that a sample without any doesn't rule them out.
-        pairs = np.full((2, 2), SWITCHES * max(len(to), 1))
-        np.add.at(pairs, (target[to - 1], target[to]), 1)
-        seen = pairs.sum()
-        starts = np.bincount(target[first], minlength=2).astype(float)
-        field = LineField(np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
-        speed = [np.zeros_like(p) for p in (field.emit, field.move, field.begin)]
+        seen = np.full((2, 2), SWITCHES * max(len(after), 1))
+        np.add.at(seen, (target[prior], target[after]), 1)
+        seen *= len(after) / seen.sum()
+        starts = np.bincount(target[:docs], minlength=2).astype(float)
+        speed = [np.zeros_like(p) for p in (self.emit, self.move, self.begin)]
         for _ in range(steps):
-            score = x @ field.emit
-            ahead, back = field._passes(x, n)
-            both = ahead + back
-            norm = np.logaddexp.reduce(both, axis=1, keepdims=True)
-            belief = np.exp(both - norm)
-            pair = np.exp(ahead[to - 1][:, :, None] + field.move + (score[to] + back[to])[:, None, :] - norm[to][:, :, None]).sum(axis=0)
-            slopes = (x.T @ (truth - belief) / total, (pairs * (len(to) / seen) - pair) / total, (starts - belief[first].sum(axis=0)) / len(n))
-            for i, (p, g) in enumerate(zip((field.emit, field.move, field.begin), slopes, strict=True)):
+            belief, pairs = self._beliefs(x, live)
+            slopes = (x.T @ (truth - belief) / total, (seen - pairs) / total, (starts - belief[:docs].sum(axis=0)) / docs)
+            for i, (p, g) in enumerate(zip((self.emit, self.move, self.begin), slopes, strict=True)):
                 speed[i] = 0.9 * speed[i] + g - decay * p
                 p += rate * speed[i]
-        return field
+        return self._beliefs(x, live)[0]
 
 
 def _lines_alone(x: np.ndarray, label: np.ndarray, doc: np.ndarray, n: np.ndarray, steps: int = 200, decay: float = 1e-3) -> np.ndarray:
@@ -246,7 +254,7 @@ def _lines_alone(x: np.ndarray, label: np.ndarray, doc: np.ndarray, n: np.ndarra
 def _constrained(odds: np.ndarray, words: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The likelier label of each line, changed where needed so that over half of a document's words bear its label.
 
-    Of a document that breaks the rule, lines of the best odds for its label take it, as many as it needs.
+    Of a document that breaks the rule, lines of the best odds for its label take it, as many as it needs.  ``doc`` is in any order.
     """
     out = (odds >= 0).astype(np.int64)
     own = label[doc]

@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, text: str = "text") -> Data
     words, joined by one space).  A window is ``k`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one
     document; it is removed if its words also start in a document of a smaller doc_id.  Windows
     are judged on the input.  A null text has no words; a document without doc_id has no place in
-    the order: it is kept whole and takes nothing from others.  Rows of one doc_id don't
+    the order: it is kept whole and takes nothing from others.  Ids are whole numbers, or are cast to such.  Rows of one doc_id don't
     take from each other.  An empty table gives no rows; other columns are not read.
     """
     in_batches(docs.sparkSession)

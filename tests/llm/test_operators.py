@@ -398,33 +398,38 @@ def test_equal_fingerprints_of_a_dissimilar_least_document(spark):
     assert {r.doc_id: r.group_id for r in nearsets.similar_groups(frame).collect()} == want
 
 
-@pytest.mark.parametrize(("words", "edits", "copies"), [(120, 2, 300), (300, 5, 300), (40, 1, 300), (120, 2, 3000)])
-def test_families_of_one_base(spark, words, edits, copies):
-    r = random.Random(words + copies)
-    base = [f"w{i}" for i in range(words)]
-    given = []
+def family(r, name, start, words, edits, copies):
+    """Copies of one text with some words replaced, and each one's group by all pairs."""
+    base = [f"{name}w{i}" for i in range(words)]
+    given, n = [], words - 4
+    # Shingles that an edit spares are the base's, so a set is told by the edited places.
+    spared = np.ones((copies, n), bool)
     for i in range(copies):
         own = list(base)
         for k in r.sample(range(words), edits):
-            own[k] = f"e{i}x{k}"
-        given.append((i, " ".join(own)))
-    # Shingles that an edit spares are the base's, so a set is told by the edited places.
-    spared = np.ones((copies, words - 4), bool)
-    for i, (_, t) in enumerate(given):
-        for k, w in enumerate(t.split()):
-            if w[0] == "e":
-                spared[i, max(0, k - 4) : k + 1] = False
+            own[k] = f"{name}e{i}x{k}"
+            spared[i, max(0, k - 4) : k + 1] = False
+        given.append((start + i, " ".join(own)))
     root = np.arange(copies)
-    n = words - 4
     for i in range(copies):
         common = (spared[i] & spared[:i]).sum(1)
         for j in np.flatnonzero(common >= 0.8 * (2 * n - common)):
             a, b = root[i], root[j]
             root[root == max(a, b)] = min(a, b)
+    return given, {start + i: start + int(g) for i, g in enumerate(root)}
+
+
+@pytest.mark.parametrize(("group", "sizes"), [(nearsets.GROUP, (300, 300, 300, 3000)), (40, (100, 100, 100, 0))])
+def test_families_of_one_base(spark, group, sizes):
+    r = random.Random(17)
+    given, want = [], {}
+    for k, ((words, edits), copies) in enumerate(zip(((120, 2), (300, 5), (40, 1), (120, 2)), sizes, strict=True)):
+        rows, roots = family(r, f"f{k}", 10_000 * k, words, edits, copies)
+        given += rows
+        want |= roots
+    assert len({want[d] for d in range(sizes[0])}) < sizes[0]
     frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
-    for size in (2048, 100) if copies < 1000 else (2048,):
-        got = {x.doc_id: x.group_id for x in nearsets.similar_groups(frame, group=size).collect()}
-        assert got == dict(enumerate(root.tolist()))
+    assert {x.doc_id: x.group_id for x in nearsets.similar_groups(frame, group=group).collect()} == want
 
 
 def test_one_of_each(docs, rows, empty):
@@ -655,6 +660,16 @@ def test_packing(docs, rows, empty):
     assert packing.packed(empty, path).count() == 0
 
 
+def test_packed_ids_of_every_code_point():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, tokenizer = packing.ByteBpe(path), Tokenizer.from_file(path)
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    given = ["\n".join(f"a{c}b {c} {c}1" for c in points[i : i + 4000]) for i in range(0, len(points), 4000)]
+    for i in range(0, len(given), 40):
+        want = tokenizer.encode_batch(given[i : i + 40], add_special_tokens=False)
+        assert all(x.tolist() == e.ids for x, e in zip(own.encode(given[i : i + 40]), want, strict=True)), i
+
+
 def test_ranks_without_gaps(spark):
     frame = written(spark.createDataFrame([(i % 3, i // 2) for i in range(1000)], "k int, v int"), "ranks")
     by = collections.defaultdict(list)
