@@ -102,18 +102,35 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def times(x: np.ndarray, c: int) -> np.ndarray:
-    """x * c modulo ``PRIME``, for x and c below it: products of 31-bit halves fit 64 bits."""
+    """A number below 2**62 that is x * c modulo ``PRIME``, for x below 2**62 + 2**6 and c below ``PRIME``: products of 31-bit halves fit 64 bits."""
     low, half = U64((1 << 31) - 1), U64(31)
     c1, c0 = U64(c >> 31), U64(c & ((1 << 31) - 1))
     x1, x0 = x >> half, x & low
-    mid = x1 * c0 + x0 * c1
-    total = (x1 * c1 << U64(1)) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << half) + x0 * c0
-    return _reduced((total & U64(PRIME)) + (total >> U64(61)))
+    mid = x1 * c0
+    mid += x0 * c1
+    x1 *= c1
+    x1 <<= U64(1)
+    x0 *= c0
+    x1 += x0
+    x1 += mid >> U64(30)
+    mid &= U64((1 << 30) - 1)
+    mid <<= half
+    x1 += mid
+    return _folded(x1)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number below 2**61 + 8 that is x modulo ``PRIME``."""
+    out = x & U64(PRIME)
+    out += x >> U64(61)
+    return out
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo ``PRIME``, for x below twice it."""
-    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+    """x modulo ``PRIME``."""
+    out = _folded(_folded(x))
+    out[out >= U64(PRIME)] -= U64(PRIME)
+    return out
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +211,57 @@ class Words:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
+# Fixed values of XXH64.
+_P1, _P2, _P3, _P4, _P5 = map(U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << U64(n)) | (x >> U64(64 - n))
+
+
+def xxh64(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of many byte ranges, of which none overlaps the end of ``raw``; all take a step together, and those that are done drop out."""
+    size = end - start
+    padded = np.concatenate([raw, np.zeros(32, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(raw) + 25, 8), (1, 1))
+    word = lambda at: np.ascontiguousarray(eight[at]).view("<u8").ravel()
+    taken = lambda x: _turned(x * _P2, 31) * _P1
+    h = np.full(len(size), U64(seed) + _P5, U64)
+    at = start.copy()
+    with np.errstate(over="ignore"):
+        long = np.flatnonzero(size >= 32)
+        if len(long):
+            base = np.array([seed], U64)
+            lanes = [np.repeat(x, len(long)) for x in (base + _P1 + _P2, base + _P2, base, base - _P1)]
+            live, stripes = np.arange(len(long)), size[long] // 32
+            for t in range(int(stripes.max())):
+                live = live[stripes[live] > t]
+                for j in range(4):
+                    lanes[j][live] = _turned(lanes[j][live] + word(at[long[live]] + 8 * j) * _P2, 31) * _P1
+                at[long[live]] += 32
+            whole = _turned(lanes[0], 1) + _turned(lanes[1], 7) + _turned(lanes[2], 12) + _turned(lanes[3], 18)
+            for lane in lanes:
+                whole = (whole ^ taken(lane)) * _P1 + _P4
+            h[long] = whole
+        h += size.astype(U64)
+        for t in range(3):
+            some = np.flatnonzero(end - at >= 8)
+            if not len(some):
+                break
+            h[some] = _turned(h[some] ^ taken(word(at[some])), 27) * _P1 + _P4
+            at[some] += 8
+        some = np.flatnonzero(end - at >= 4)
+        h[some] = _turned(h[some] ^ (word(at[some]) & U64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+        at[some] += 4
+        for t in range(3):
+            some = np.flatnonzero(end > at)
+            h[some] = _turned(h[some] ^ padded[at[some]].astype(U64) * _P5, 11) * _P1
+            at[some] += 1
+        h = (h ^ (h >> U64(33))) * _P2
+        h = (h ^ (h >> U64(29))) * _P3
+    return h ^ (h >> U64(32))
+
+
 def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every k consecutive words of one text, and the index of each one's first word.
 
@@ -207,13 +275,13 @@ def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     rolling, n = one, 1
     for bit in bin(k)[3:]:
         size = len(rolling) - n
-        rolling = _reduced(times(rolling[:size], pow(BASE, n, PRIME)) + rolling[n : n + size])
+        rolling = times(rolling[:size], pow(BASE, n, PRIME)) + rolling[n : n + size]
         n *= 2
         if bit == "1":
             size = len(rolling) - 1
-            rolling = _reduced(times(rolling[:size], BASE) + one[n : n + size])
+            rolling = times(rolling[:size], BASE) + one[n : n + size]
             n += 1
-    return mix(rolling[at] + U64(k)), at
+    return mix(_reduced(rolling[at]) + U64(k)), at
 
 
 #: Slots of a screen, as a power of two: it takes 2**17 rows of 16 bytes at most, whatever it screens.

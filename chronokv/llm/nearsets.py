@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, column, in_batches, joined, larger, mix, pieces, screened, windows, without, written
 from .links import components
-from .simhash import _UPPER, changes, fingerprint_bits, near_links, runs
+from .simhash import _UPPER, changes, majority, near_links, runs
 
 #: Documents, and shingles found in several of them, that say which shingles are common; they change the order of prints alone, not what is found.
 COMMON_DOCS, COMMON = 20_000, 200_000
@@ -28,8 +28,12 @@ PIVOTS = 4
 BLOCK = 1 << 22
 
 
+#: Bits of a shingle's hash; the rest of a number says whose it is while a slice is sorted.
+HASH_BITS = 54
+
+
 def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words, and the hashes and texts of each text's distinct shingles, in order of both; A-Z are folded.
+    """The words, and the hashes (``HASH_BITS`` bits) and texts of each text's distinct shingles, in order of both; A-Z are folded.
 
     A text of fewer words is one shingle; one without words has a shingle of its own kind.
     """
@@ -45,10 +49,16 @@ def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
             more = np.flatnonzero(w.n[few] > j)
             whole[more] = mix(whole[more] * U64(0xFF51AFD7ED558CCD) + own[w.first[few[more]] + j])
         h, doc = np.concatenate([h, whole]), np.concatenate([doc, few])
-    by = np.lexsort((h, doc))
-    h, doc = h[by], doc[by]
-    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-    return w, h[new], doc[new]
+    low = U64((1 << HASH_BITS) - 1)
+    parts = []
+    for lo in range(0, w.docs, 1 << (64 - HASH_BITS)):  # a batch has no more texts than that, as a rule
+        some = (doc >= lo) & (doc < lo + (1 << (64 - HASH_BITS))) if w.docs > 1 << (64 - HASH_BITS) else slice(None)
+        both = np.sort((doc[some] - lo).astype(U64) << U64(HASH_BITS) | h[some] & low)
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        parts.append((both & low, (both >> U64(HASH_BITS)).astype(np.int64) + lo))
+    if not parts:
+        return w, np.zeros(0, U64), np.zeros(0, np.int64)
+    return w, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +83,7 @@ def sketch_bits(n: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """doc_id, n (distinct shingles), set_a and set_b (equal for equal sets), ``prints``, ``sketch``, and ``bits`` of the SimHash.
+    """doc_id, n (distinct shingles), set_a and set_b (equal for equal sets), ``prints``, ``sketch``, and ``bits``, the SimHash of the set.
 
     The sketch has a bit for each of 2**k slots, set if an odd number of shingles fall into it: two sets differ in at least as many shingles as their
     sketches differ in bits.
@@ -93,18 +103,17 @@ def described(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: i
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 count = np.where(known[at] == h, times[at], 0)
-            by = np.lexsort((h, count, doc))
+            by = np.argsort(doc * (count.max(initial=0) + 1) + count, kind="stable")  # h ascends within a text
             size = prefix_size(n, similarity)
             take = by[np.arange(len(h)) - np.repeat(first, n) < np.repeat(size, n)]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[take].view(np.int64)))
             bits = sketch_bits(n)
             base = np.concatenate([[0], np.cumsum(bits)])
-            odd = np.zeros(base[-1], np.uint8)
-            np.bitwise_xor.at(odd, np.repeat(base[:-1], n) + (mix(h) & (np.repeat(bits, n) - 1).astype(U64)).astype(np.int64), 1)
-            packed = np.packbits(odd, bitorder="little")
+            slot = np.repeat(base[:-1], n) + (mix(h) & (np.repeat(bits, n) - 1).astype(U64)).astype(np.int64)
+            packed = np.packbits((np.bincount(slot, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")
             sketch = pa.Array.from_buffers(pa.binary(), w.docs, [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(packed)])
-            codes = pa.array(fingerprint_bits(w, 3, fold=False).view(np.int64))
+            codes = pa.array(majority(mix(h ^ U64(0x5A5A5A5A)), doc, w.docs).view(np.int64))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), prints, sketch, codes], ["doc_id", "n", "set_a", "set_b", "prints", "sketch", "bits"])
 
     return d.mapInArrow(run, f"doc_id {key}, n long, set_a long, set_b long, prints array<long>, sketch binary, bits long")

@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, column, in_batches, larger, pieces, unite, written
+from .common import U64, Words, column, in_batches, larger, pieces, unite, written, xxh64
 from .links import components
 
 BITS = 64
@@ -52,7 +51,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", fold: bo
 
 def fingerprint_bits(w: Words, shingle: int, fold: bool) -> np.ndarray:
     """The SimHash of each text of a slice."""
-    digest = xxhash.xxh64_intdigest
     size = w.end - w.start
     # One buffer with each word and a space after it.
     to = np.concatenate([[0], np.cumsum(size + 1)])
@@ -60,7 +58,6 @@ def fingerprint_bits(w: Words, shingle: int, fold: bool) -> np.ndarray:
     at = np.ones(to[-1], bool)
     at[to[1:] - 1] = False
     raw[at] = _UPPER[w.raw[w.inside]] if fold else w.raw[w.inside]
-    flat = raw.tobytes()
     # Shingles: from word i to word i + k - 1 of the same text, or a short text's first to last word.
     m = len(size) - shingle + 1
     first = np.flatnonzero(w.doc[:m] == w.doc[shingle - 1 :]) if m > 0 else np.zeros(0, np.int64)
@@ -69,7 +66,7 @@ def fingerprint_bits(w: Words, shingle: int, fold: bool) -> np.ndarray:
     begin = np.concatenate([to[first], to[w.first[short]]])
     end = np.concatenate([to[first + shingle], to[w.first[short] + w.n[short]]]) - 1
     by = np.argsort(doc, kind="stable")
-    h = np.fromiter((digest(flat[s:e], 42) for s, e in zip(begin[by].tolist(), end[by].tolist(), strict=True)), U64, len(by))
+    h = xxh64(raw, begin[by], end[by], 42)
     return majority(h, doc[by], w.docs)
 
 
@@ -81,9 +78,17 @@ def majority(hashes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
         return out
     some = np.flatnonzero(n)
     first = np.concatenate([[0], np.cumsum(n[some])[:-1]])
-    for i in range(BITS):
-        ones = np.add.reduceat(((hashes >> U64(i)) & U64(1)).astype(np.int64), first)
-        out[some] |= (2 * ones > n[some]).astype(U64) << U64(i)
+    # Eight counters of a byte each ride in one number, so hashes are added up in runs of at most 255.
+    inner = np.arange(len(hashes)) - np.repeat(first, n[some])
+    begin = np.flatnonzero(inner % 255 == 0)
+    own = np.searchsorted(begin, first)
+    lanes = U64(0x0101010101010101)
+    for i in range(8):
+        runs_of = np.add.reduceat((hashes >> U64(i)) & lanes, begin).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(runs_of.astype(np.int64), own, axis=0)
+        set_bits = 2 * ones > n[some][:, None]
+        for byte in range(8):
+            out[some] |= set_bits[:, byte].astype(U64) << U64(8 * byte + i)
     return out
 
 
