@@ -252,7 +252,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         e = encoder(path, patterns)
-        for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES):
+        for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES, keep=encoder):
             units, ids = e.encode([t or "" for t in column(b, "text").to_pylist()])
             rows = [np.concatenate([ids[u] for u in x]).astype(np.int32) if x else np.zeros(0, np.int32) for x in units]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -287,7 +287,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         e = encoder(path, patterns)
-        for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES):
+        for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES, keep=encoder):
             units, ids = e.encode([t or "" for t in column(b, "text").to_pylist()])
             n, number, string = zip(*e.strings(), strict=True) if ids else ((), (), ())
             if 0 in n:

@@ -8,6 +8,8 @@ with numpy, without building a Python object per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text; a longer text is a slice of its own."""
+#: What a worker's operator keeps from one partition to the next: functions with a cache.
+_kept: list = []
+
+
+def keep_only(f=None) -> None:
+    """Forget what other operators kept in this worker: workers outlive stages, and their caches would add up.  ``f`` keeps its own."""
+    others = [g for g in _kept if g is not f]
+    for g in others:
+        g.cache_clear()
+    _kept[:] = [f] if f else []
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: scratch arrays of one partition are not held while the worker waits for the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def pieces(batches, text: str = "text", limit: int = SLICE_BYTES, keep=None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text; a longer text is a slice of its own.  ``keep`` is the function whose cache stays."""
+    keep_only(keep)
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         size = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
@@ -49,6 +73,7 @@ def pieces(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa
             end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def larger(batches, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:

@@ -121,7 +121,7 @@ def cut_pieces(docs: DataFrame, path: str, tokens: int = TOKENS, end_id: int = E
 
     def run(batches):
         encoder = tokenizer(path)
-        for b in pieces(batches):
+        for b in pieces(batches, keep=tokenizer):
             ids = encoder.encode([t or "" for t in column(b, "text").to_pylist()])
             row, start, length, crc, total = [], [], [], [], []
             for i, x in enumerate(ids):

@@ -156,7 +156,7 @@ def counted(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         a = automaton(path)
-        for b in pieces(batches, limit=SLICE):
+        for b in pieces(batches, limit=SLICE, keep=automaton):
             w = Words(column(b, "text"))
             _, one, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
             size = w.end[one] - w.start[one] + 1
