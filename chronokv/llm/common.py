@@ -25,14 +25,15 @@ from ..functions.tables import shared_dir, written  # noqa: F401  the operators
 U64 = np.uint64
 #: Bytes of text whose scratch arrays a worker holds at once.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch between the JVM and a worker.
-BATCH_ROWS = 512
+#: Rows of an Arrow batch between the JVM and a worker, and bytes, beyond which one row may go.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def in_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, as a batch of very long texts must fit a worker, and give workers the package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

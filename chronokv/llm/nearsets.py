@@ -16,8 +16,8 @@ from .common import U64, Words, column, in_batches, joined, larger, mix, pieces,
 from .links import components
 from .simhash import _UPPER, changes, majority, near_links, runs
 
-#: Documents, and shingles found in several of them, that say which shingles are common; they change the order of prints alone, not what is found.
-COMMON_DOCS, COMMON = 20_000, 200_000
+#: Documents and bytes of text of a sample, and shingles found in several of them, that say which shingles are common; they change the order of prints alone, not what is found.
+COMMON_DOCS, COMMON_BYTES, COMMON = 20_000, 1 << 27, 200_000
 #: Bits of a sketch for each shingle, and the least and most bits.
 SKETCH, LEAST_BITS, MOST_BITS = 4, 64, 1 << 15
 #: Holders of a print that one task tests against each other; where there are more, pivots are tested against all.
@@ -30,6 +30,8 @@ BLOCK = 1 << 22
 
 #: Bits of a shingle's hash; the rest of a number says whose it is while a slice is sorted.
 HASH_BITS = 54
+#: Leading bits of a hash by which equally common shingles are counted in slices.
+SLICE_BITS = 12
 
 
 def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -62,21 +64,41 @@ def _sets(text: pa.Array, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of shingles that are in several of about ``COMMON_DOCS`` documents, and in how many."""
+    """Hashes, ascending, of shingles that are in several of some documents, and in how many: about ``COMMON_DOCS`` of them to twice that, or fewer long ones."""
     in_batches(docs.sparkSession)
-    step = max(1, docs.count() // COMMON_DOCS)
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    step = max(1, n // COMMON_DOCS, (size or 0) // COMMON_BYTES)
 
     def run(batches):
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_sets(column(b, "text"), shingle)[1].view(np.int64))], ["h"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(run, "h long")
-    often = some.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    h, n = often["h"].to_numpy(np.int64).view(U64), often["count"].to_numpy(np.int64)
+    h, n = _most_often(written(some.groupBy("h").count().where("count > 1"), "counted"), COMMON)
     by = np.argsort(h)
     return h[by], n[by]
 
 
+def _most_often(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """h and count of the ``most`` rows of the greatest counts, of equal counts those of the least h.
+
+    A sort with a limit would have every task send so many rows to the driver.  So rows are numbered by count first, and those of the count that passes the
+    limit by slices of h: only what lies before the cut is sent, and the one slice that it runs through.  ``counted`` is read several times: give a written table.
+    """
+    before, through, left = F.lit(False), F.lit(True), most
+    for key in (-F.col("count"), F.shiftright("h", HASH_BITS - SLICE_BITS)):
+        sizes = sorted(tuple(r) for r in counted.where(through).groupBy(key.alias("key")).agg(F.count("*")).collect())
+        upto = np.cumsum([n for _, n in sizes])
+        whole = int(np.searchsorted(upto, left, side="right"))
+        if whole == len(sizes):  # there are no more than ``most``
+            break
+        before, through, left = before | through & (key < sizes[whole][0]), through & (key == sizes[whole][0]), left - int(upto[whole - 1] if whole else 0)
+    often = counted.where(before | through).toPandas()
+    h, n = often["h"].to_numpy(np.int64).view(U64), often["count"].to_numpy(np.int64)
+    by = np.lexsort((h, -n))[:most]
+    return h[by], n[by]
+
+
 def sketch_bits(n: np.ndarray) -> np.ndarray:
     """Bits of the sketch of a set of n: a power of two."""
     return np.clip(1 << np.ceil(np.log2(np.maximum(SKETCH * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)

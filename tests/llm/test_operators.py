@@ -5,8 +5,11 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import textwrap
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -430,6 +433,50 @@ def test_families_of_one_base(spark, group, sizes):
     assert {x.doc_id: x.group_id for x in nearsets.similar_groups(frame, group=group).collect()} == want
 
 
+@pytest.mark.parametrize("top", [1, 3, 1000])
+def test_most_often(spark, top):
+    r = random.Random(top)
+    for n, most in ((0, 5), (30, 100), (30, 30), (3000, 700), (3000, 1), (3000, 2999)):
+        rows = [(h, 2 + r.randrange(top)) for h in r.sample(range(1 << 54), n)]
+        h, times = nearsets._most_often(written(spark.createDataFrame(rows, "h long, count long"), "counted"), most)
+        assert list(zip(h.tolist(), times.tolist(), strict=True)) == sorted(rows, key=lambda x: (-x[1], x[0]))[:most]
+
+
+def test_groups_do_not_hang_on_the_sample(spark, monkeypatch):
+    r = random.Random(11)
+    base = [r.choices(range(10**6), k=60) for _ in range(12)]
+    given = [(i, " ".join(f"w{x}" for x in [*base[i % 12][: 57 + i % 4], i])) for i in range(72)]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    want = similar_by_all_pairs(given)
+    for most in (1 << 27, 3000, 1):  # bytes: all documents are read, some, or about none
+        monkeypatch.setattr(nearsets, "COMMON_BYTES", most)
+        assert {x.doc_id: x.group_id for x in nearsets.similar_groups(frame).collect()} == want
+
+
+#: 200 texts of 400 words, each found twice, so that 79,200 shingles are equally common: more than all tasks may send to the driver.
+SMALL_RESULTS = """
+import random, sys
+from pyspark.sql import SparkSession
+conf = {"spark.driver.maxResultSize": "1m", "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.ui.enabled": "false"}
+spark = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+from chronokv.llm import nearsets
+from chronokv.llm.common import written
+nearsets.COMMON = 1000
+r = random.Random(5)
+texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(400)) for _ in range(200)]
+docs = written(spark.createDataFrame([(i, texts[i % 200]) for i in range(400)], "doc_id long, text string"), "docs")
+h, n = nearsets._common(docs, 5)
+assert len(h) == 1000 and set(n.tolist()) == {2} and (h[1:] > h[:-1]).all()
+print("sent", len(h))
+"""
+
+
+def test_common_shingles_fit_the_driver():
+    root = Path(__file__).resolve().parents[2]
+    ran = subprocess.run([sys.executable, "-c", SMALL_RESULTS], cwd=root, capture_output=True, text=True, timeout=300)
+    assert "sent 1000" in ran.stdout, ran.stderr[-2000:]
+
+
 def test_one_of_each(docs, rows, empty):
     left = nearsets.one_of_each(docs)
     assert left.columns == docs.columns and nearsets.one_of_each(empty).count() == 0
