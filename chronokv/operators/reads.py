@@ -155,13 +155,13 @@ def seek_many(state: DataFrame, targets: DataFrame, how: str = "ge") -> DataFram
     asks = targets.select(F.col("target").alias("k"), F.lit(0 if how == "ge" else -1).alias("kind"), F.col("target"), F.lit(None).cast(kind).alias("hit"))
     # ge: targets stand before equal keys and look ahead; lt: they stand before equal keys and look back.
     run = in_order(written(keys.unionByName(asks), "seek"), F.col("k"), F.col("kind"))
-    own = Window.partitionBy("part").orderBy("at")
-    if how == "ge":
-        near = F.first("hit", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))
-        edge = run.groupBy("part").agg(F.min("hit").alias("edge")).withColumn("carry", F.first("edge", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)))
-    else:
-        near = F.last("hit", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-        edge = run.groupBy("part").agg(F.max("hit").alias("edge")).withColumn("carry", F.last("edge", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    # Both look back over a growing frame, ge from the far end: a frame that shrinks towards the end would be gone through anew for each row.
+    ahead = how == "ge"
+    back = lambda c: (F.col(c).desc() if ahead else F.col(c).asc())
+    own = Window.partitionBy("part").orderBy(back("at")).rowsBetween(Window.unboundedPreceding, 0)
+    beside = Window.orderBy(back("part")).rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last("hit", ignorenulls=True).over(own)
+    edge = run.groupBy("part").agg((F.min if ahead else F.max)("hit").alias("edge")).withColumn("carry", F.last("edge", ignorenulls=True).over(beside))
     return run.withColumn("near", near).where("target is not null").join(edge, "part").select("target", F.coalesce("near", "carry").alias("found"))
 
 

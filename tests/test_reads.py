@@ -122,3 +122,16 @@ def test_seeks_of_bytes(spark):
     for how, want in (("ge", [1, 0x80, 0xFE, 0xFE, None]), ("lt", [None, 1, 0x80, 0x80, 0xFE])):
         got = sorted((bytes(r.target), None if r.found is None else bytes(r.found)) for r in reads.seek_many(state, targets, how).collect())
         assert got == [(bytes([t]), None if w is None else bytes([w])) for t, w in zip((0, 0x80, 0x81, 0xFE, 0xFF), want, strict=True)]
+
+
+@pytest.mark.parametrize("how", ["ge", "lt"])
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_seeks_do_not_go_through_the_rest_of_a_part_for_each_row(spark, how, kind):
+    """A frame up to a part's end is gone through anew for each row: the square of a part's rows."""
+    state, targets = (spark.range(50).selectExpr(f"cast(cast(id * {n} as string) as {kind}) as {c}") for n, c in ((2, "key"), (3, "target")))
+    found = reads.seek_many(state, targets, how)
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    keys = sorted(str(i * 2) for i in range(50))
+    want = {t: min((k for k in keys if k >= t), default=None) if how == "ge" else max((k for k in keys if k < t), default=None) for t in (str(i * 3) for i in range(50))}
+    assert {r.target: r.found for r in found.selectExpr("cast(target as string) target", "cast(found as string) found").collect()} == want
