@@ -353,19 +353,26 @@ def _coded(df: DataFrame, f, schema: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([f(r) for r in pdf.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame([f(r) for r in pdf.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")], dtype=object)  # else a null makes longs floats
 
     return df.mapInPandas(run, schema)
 
 
 @query(f"WITH {_OPLOG}, v AS (SELECT seq, seq * seq * seq * 1000 AS v FROM oplog) SELECT seq, {_varint_sql('v')} AS coded, v AS decoded, {_vlen('v')} AS n FROM v")
 def varint_bytes(spark, d):
+    """From sequence number 209,716 on a long can't hold the value, and the SQL fails: its bytes are right all the same, ``decoded`` is null."""
     def code(r):
-        raw = codec.put_varint(r.v)
-        value, at = codec.get_varint(raw + b"rest")
-        return r.seq, raw.hex(), value, at
+        v = r.seq ** 3 * 1000
+        raw = codec.put_varint(v)
+        value, at = codec.get_varint(raw + b"rest", bits=max(64, v.bit_length()))
+        return r.seq, raw.hex(), _long(value), at
 
-    return _coded(log(spark, d).select("seq", (F.col("seq") * F.col("seq") * F.col("seq") * 1000).alias("v")), code, "seq long, coded string, decoded long, n int")
+    return _coded(log(spark, d).select("seq"), code, "seq long, coded string, decoded long, n int")
+
+
+def _long(v: int) -> int | None:
+    """A value that a column of longs can hold, else null."""
+    return v if v < 1 << 63 else None
 
 
 @query(f"WITH {_OPLOG}, v AS (SELECT seq, seq * 40503 % 4294967296 AS a, seq * seq * 1000003 AS b FROM oplog) SELECT seq, {_fixed_sql('a', 4)} AS fixed32, {_fixed_sql('b', 8)} AS fixed64, a, b FROM v")
