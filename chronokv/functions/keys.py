@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def varint_length(v: Column) -> Column:
-    """Bytes that a non-negative value takes as a varint."""
+    """Bytes that a non-negative value, a long at most, takes as a varint."""
     out = F.lit(9)
     for n in range(8, 0, -1):
         out = F.when(v < F.lit(1 << 7 * n), n).otherwise(out)
     return out
 
 
+def wide_varint_length(v: Column) -> Column:
+    """:func:`varint_length` of a decimal(38,0), which may pass a long."""
+    out = F.lit(19)
+    for n in range(18, 0, -1):
+        out = F.when(v < F.lit(Decimal(1 << 7 * n)), n).otherwise(out)
+    return out
+
+
 def pack_tag(seq: Column, vt: Column) -> Column:
     """seq * 256 + vt as a decimal, which no sequence number overflows."""
     return (seq.cast("decimal(20,0)") * 256 + vt).cast("decimal(20,0)")

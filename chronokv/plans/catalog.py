@@ -290,9 +290,15 @@ def unpack_tag(spark, d):
     return tagged.select(F.col("t").cast("long").alias("tag"), keys.unpack_seq(F.col("t")).alias("seq"), (F.col("t") % 256).cast("int").alias("vt"))
 
 
+def _wide(*factors: Column) -> Column:
+    """A product of whole numbers as a decimal(38,0)."""
+    return functools.reduce(lambda a, b: (a * b.cast("decimal(38,0)")).cast("decimal(38,0)"), factors[1:], factors[0].cast("decimal(38,0)"))
+
+
 @query(f"WITH {_OPLOG}, v AS (SELECT seq, seq * seq * seq * 1000 AS v FROM oplog) SELECT seq, {_vlen('v')} AS n FROM v")
 def varint_len(spark, d):
-    return log(spark, d).select("seq", keys.varint_length(F.col("seq") * F.col("seq") * F.col("seq") * 1000).alias("n"))
+    """From sequence number 209,716 on a long can't hold the value, and the SQL fails: decimals give its length as well."""
+    return log(spark, d).select("seq", keys.wide_varint_length(_wide(F.col("seq"), F.col("seq"), F.col("seq"), F.lit(1000))).alias("n"))
 
 
 @query(f"WITH {_OPLOG}, k AS (SELECT DISTINCT key FROM oplog) SELECT key, CASE WHEN key = '' THEN '' ELSE chr(ascii(substring(key, 1, 1)) + 1) END AS successor FROM k")

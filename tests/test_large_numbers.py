@@ -16,6 +16,11 @@ def d(spark, tmp_path_factory):
     return str(to)
 
 
+def test_varint_len(spark, d):
+    got = {r.seq: r.n for r in catalog.varint_len(spark, d).collect()}
+    assert got == {s: -(-(s**3 * 1000).bit_length() // 7) for s in SEQS}
+
+
 def test_varint_bytes(spark, d):
     got = {r.seq: r for r in catalog.varint_bytes(spark, d).collect()}
     assert sorted(got) == SEQS
