@@ -383,12 +383,13 @@ def _long(v: int) -> int | None:
 
 @query(f"WITH {_OPLOG}, v AS (SELECT seq, seq * 40503 % 4294967296 AS a, seq * seq * 1000003 AS b FROM oplog) SELECT seq, {_fixed_sql('a', 4)} AS fixed32, {_fixed_sql('b', 8)} AS fixed64, a, b FROM v")
 def fixed_bytes(spark, d):
+    """From sequence number 3,036,996 on a long can't hold b, and the SQL fails: ``b`` is null, and ``fixed64`` too where 64 bits can't hold it."""
     def code(r):
-        a, b = codec.put_fixed32(r.a), codec.put_fixed64(r.b)
-        return r.seq, a.hex(), b.hex(), codec.get_fixed32(a), codec.get_fixed64(b)
+        v = r.seq ** 2 * 1000003
+        a, b = codec.put_fixed32(r.seq * 40503 % (1 << 32)), codec.put_fixed64(v) if v < 1 << 64 else None
+        return r.seq, a.hex(), b.hex() if b else None, codec.get_fixed32(a), _long(codec.get_fixed64(b)) if b else None
 
-    rows = log(spark, d).select("seq", (F.col("seq") * 40503 % 4294967296).alias("a"), (F.col("seq") * F.col("seq") * 1000003).alias("b"))
-    return _coded(rows, code, "seq long, fixed32 string, fixed64 string, a long, b long")
+    return _coded(log(spark, d).select("seq"), code, "seq long, fixed32 string, fixed64 string, a long, b long")
 
 
 def _hex(x: str) -> str:

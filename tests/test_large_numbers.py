@@ -1,5 +1,7 @@
 """Queries over byte formats where sequence numbers are so large that a long can't hold what is coded."""
 
+import struct
+
 import pytest
 
 from chronokv.functions import codec
@@ -30,6 +32,15 @@ def test_varint_bytes(spark, d):
         assert r.decoded == (v if v < 1 << 63 else None)
 
 
+def test_fixed_bytes(spark, d):
+    got = {r.seq: r for r in catalog.fixed_bytes(spark, d).collect()}
+    assert sorted(got) == SEQS
+    for s, r in got.items():
+        a, b = s * 40503 % (1 << 32), s * s * 1000003
+        assert (r.a, r.fixed32) == (a, struct.pack("<I", a).hex())
+        assert (r.b, r.fixed64) == (b if b < 1 << 63 else None, struct.pack("<Q", b).hex() if b < 1 << 64 else None)
+
+
 def test_readers_of_varints_keep_to_their_bits():
     for bits in (32, 64):
         assert codec.get_varint(codec.put_varint((1 << bits) - 1), bits=bits)[0] == (1 << bits) - 1
