@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+#: Rows, and bytes of texts and binary values, of an Arrow batch that Python makes.
+BATCH_ROWS, BATCH_BYTES = 1 << 14, 8 << 20
+
+
+def row_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Runs of rows with an equal first value, as (value, rows), of Arrow batches in its order: one call of Python serves many small groups."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return itertools.groupby(rows, operator.itemgetter(0))
+
+
+def record_batches(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The rows as Arrow batches of a bounded size: however many rows a task has, a worker holds one batch of them."""
+    held, size = [], 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names)
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r if isinstance(x, (bytes, str)))
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
 
 
 def shared_dir(spark: SparkSession) -> str:

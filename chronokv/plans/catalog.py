@@ -11,12 +11,13 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, keys
 from ..functions.model import Options
-from ..functions.tables import in_order, shared_dir, with_previous, written
+from ..functions.tables import in_order, record_batches, row_groups, shared_dir, with_previous, written
 from ..operators import batches, compaction, manifest, reads, runs
 from ..sources import tables, wal
 from ..sources.store import open_store
@@ -420,27 +421,32 @@ def internal_key_bytes(spark, d):
 @query(f"""WITH {_OPS}, parts AS (SELECT *, CASE WHEN vt = 1 THEN '01' ELSE '00' END || {_varint_sql('strlen(key)')} || {_hex('key')} || CASE WHEN vt = 1 THEN {_varint_sql('strlen(value)')} || {_hex('value')} ELSE '' END AS part FROM ops)
 SELECT batch_id, {_fixed_sql('batch_id * 10 + 1', 8)} || {_fixed_sql('count(*)', 4)} || string_agg(part, '' ORDER BY i) AS coded FROM parts GROUP BY batch_id""")
 def batch_bytes(spark, d):
-    def code(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"batch_id": [pdf["batch_id"].iloc[0]], "coded": [_batch(pdf).contents().hex()]})
+    def run(found):
+        coded = ((n, b.contents().hex()) for n, b in _batches(found))
+        return record_batches(coded, ["batch_id", "coded"], [pa.int64(), pa.string()])
 
-    return ops(spark, d).groupBy("batch_id").applyInPandas(code, "batch_id long, coded string")
+    return _in_batches(spark, d).mapInArrow(run, "batch_id long, coded string")
 
 
-def _batch(pdf: pd.DataFrame) -> codec.WriteBatch:
-    b = codec.WriteBatch()
-    for r in pdf.sort_values("i").itertuples():
-        b = b.put(r.key.encode(), r.value.encode()) if r.vt else b.delete(r.key.encode())
-    b.sequence = int(pdf["batch_id"].iloc[0]) * 10 + 1
-    return b
+def _in_batches(spark, d) -> DataFrame:
+    """Operations side by side with those of their batch, in order: batches are so small that a call of Python for each would cost more than its work."""
+    rows = ops(spark, d).select("batch_id", "i", "vt", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    return rows.repartition("batch_id").sortWithinPartitions("batch_id", "i")
+
+
+def _batches(found):
+    """The number and the write batch of each group of such rows."""
+    for n, rows in row_groups(found):
+        yield n, codec.WriteBatch(((vt, key, value) for _, _, vt, key, value in rows), n * 10 + 1)
 
 
 @query(f"WITH {_OPS} SELECT key, batch_id * 10 + i + 1 AS seq, vt, value FROM ops")
 def batch_iterate(spark, d):
     """The batches as the bytes of a log, and back to rows."""
-    def code(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"payload": [_batch(pdf).contents()]})
+    def run(found):
+        return record_batches(((b.contents(),) for _, b in _batches(found)), ["payload"], [pa.binary()])
 
-    rows = wal.batches_of(ops(spark, d).groupBy("batch_id").applyInPandas(code, "payload binary"))
+    rows = wal.batches_of(_in_batches(spark, d).mapInArrow(run, "payload binary"))
     return rows.where("error is null").select(F.col("key").cast("string").alias("key"), "seq", F.col("vt").cast("int").alias("vt"), F.col("value").cast("string").alias("value"))
 
 
@@ -742,16 +748,16 @@ def version_fold(spark, d):
 @query(f"WITH {_SOME_EDITS}, r AS (SELECT *, row_number() OVER (PARTITION BY level, number ORDER BY edit_no DESC) AS rn FROM edits) SELECT level, number, edit_no, size FROM r WHERE rn = 1 AND what = 'add'")
 def edit_roundtrip(spark, d):
     """The same edits as the bytes of a manifest log, read back and folded."""
-    def code(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = (b"k", 1, 1)
-        records = []
-        for r in pdf.sort_values("event_id").itertuples():
-            file = (r.user_id % 3, r.event_id % 700)
-            records.append(codec.encode_edit({"last_sequence": r.event_id, "deleted_files": [file]} if r.event_type == "error" else {"last_sequence": r.event_id, "new_files": [(*file, len(r.props.encode()), key, key)]}))
-        return pd.DataFrame({"path": [str(pdf["part"].iloc[0])], "content": [wal.encode(records)]})
-
-    e = table(spark, d, "events").withColumn("part", F.floor(F.col("event_id") / 500).cast("long"))
-    found = tables.edits_of(e.groupBy("part").applyInPandas(code, "path string, content binary"))
+    def edit(event: int, user: int, kind: str, props: bytes) -> bytes:
+        file, key = (user % 3, event % 700), (b"k", 1, 1)
+        return codec.encode_edit({"last_sequence": event, "deleted_files": [file]} if kind == "error" else {"last_sequence": event, "new_files": [(*file, len(props), key, key)]})
+
+    def run(batches):
+        logs = ((str(part), wal.encode([edit(*r[1:]) for r in rows])) for part, rows in row_groups(batches))
+        return record_batches(logs, ["path", "content"], [pa.string(), pa.binary()])
+
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("part"), "event_id", "user_id", "event_type", F.col("props").cast("binary").alias("props"))
+    found = tables.edits_of(e.repartition("part").sortWithinPartitions("part", "event_id").mapInArrow(run, "path string, content binary"))
     numbered = found.where("what = 'last_sequence'").select("path", F.col("edit_no").alias("n"), F.col("number").alias("edit_no"))
     edits = found.where("what in ('add', 'delete')").select("path", F.col("edit_no").alias("n"), "what", "level", "number", "size").join(numbered, ["path", "n"]).drop("path", "n")
     return tables.fold_edits(edits)
