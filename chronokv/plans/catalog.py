@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, keys
@@ -758,8 +758,9 @@ def edit_roundtrip(spark, d):
 
     e = table(spark, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("part"), "event_id", "user_id", "event_type", F.col("props").cast("binary").alias("props"))
     found = tables.edits_of(e.repartition("part").sortWithinPartitions("part", "event_id").mapInArrow(run, "path string, content binary"))
-    numbered = found.where("what = 'last_sequence'").select("path", F.col("edit_no").alias("n"), F.col("number").alias("edit_no"))
-    edits = found.where("what in ('add', 'delete')").select("path", F.col("edit_no").alias("n"), "what", "level", "number", "size").join(numbered, ["path", "n"]).drop("path", "n")
+    # The rows of an edit get its number side by side: a join with the numbers would decode the logs twice.
+    last = F.max(F.when(F.col("what") == "last_sequence", F.col("number"))).over(Window.partitionBy("path", "edit_no"))
+    edits = found.withColumn("last", last).where("what in ('add', 'delete') and last is not null").select(F.col("last").alias("edit_no"), "what", "level", "number", "size")
     return tables.fold_edits(edits)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..functions.model import Corruption
+from ..functions.tables import record_batches
 from . import wal
 
 
@@ -17,16 +18,17 @@ def read_tables(spark: SparkSession, path: str, verify: bool = True) -> DataFram
     Tables are decoded side by side; one is as large as an option allows.
     """
 
-    def run(batches):
+    def rows_of(batches):
         for b in batches:
-            rows = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, content in zip(b.column(0), b.column(1), strict=True):
                 try:
-                    rows += [(name, n, k, v, None) for n, k, v in codec.decode_table(content, verify)]
+                    rows = [(name.as_py(), n, k, v, None) for n, k, v in codec.decode_table(content.as_py(), verify)]
                 except Corruption as e:
-                    rows.append((name, None, None, None, e.message))
-            kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "block", "key", "value", "error"])
+                    rows = [(name.as_py(), None, None, None, e.message)]
+                yield from rows
+
+    def run(batches):
+        return record_batches(rows_of(batches), ["path", "block", "key", "value", "error"], [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string()])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, block long, key binary, value binary, error string")
@@ -56,15 +58,16 @@ def edits_of(files: DataFrame) -> DataFrame:
         out += [(name, n, k, None, edit[k], None, None, None, None) for k in ("log_number", "prev_log_number", "next_file_number", "last_sequence") if k in edit]
         return out + [(name, n, "comparator", None, None, None, None, None, edit.get("comparator_name"))] * ("comparator_name" in edit)
 
-    def run(batches):
+    def found(batches):
         for b in batches:
-            rows = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, content in ((n.as_py(), c.as_py()) for n, c in zip(b.column(0), b.column(1), strict=True)):
                 got = wal.replay(content)
                 for n, (_, record) in enumerate(got.records):
-                    rows += rows_of(name, n, record)
-                rows += [(name, None, "error", None, None, None, None, None, why) for _, why in got.reports]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    yield from rows_of(name, n, record)
+                yield from ((name, None, "error", None, None, None, None, None, why) for _, why in got.reports)
+
+    def run(batches):
+        return record_batches(found(batches), names, kinds)
 
     return files.mapInArrow(run, "path string, edit_no long, what string, level int, number long, size long, lo binary, hi binary, text string")
 
