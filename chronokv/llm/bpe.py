@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-A partition is taken in slices of ``INDEX_BYTES`` of text; all words of a slice that its worker has not met yet are encoded together.  The index maps each adjacent pair of symbols to all
+A partition is taken in slices of ``INDEX_BYTES`` of text, and runs without white space are normalised once each; all words of a slice that its worker has not met yet are encoded together.  The index maps each adjacent pair of symbols to all
 its positions; the active pair of the least rank is merged at every position at once, and
 the lists of the pairs beside those positions are updated.  Positions that an earlier merge has changed are skipped
 when their pair comes up.  A word's merges are those it would get alone, since a heap always yields the least
@@ -14,11 +14,13 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
@@ -30,7 +32,7 @@ _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+
 #: Slots of the table of pairs, as a power of two.
 SLOT_BITS = 19
 #: Characters that str.split takes for white space and the normalizer doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Bytes of text that share an index: the more, the fewer passes over the active ranks.
 INDEX_BYTES = 16 << 20
 #: Distinct words whose ids a worker keeps from one slice to the next.
@@ -71,12 +73,13 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known, self.ids, self.written = _Numbers(), [], []
+        self._forget()
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.token = [""] * self.size
         for t, i in chain(vocab.items(), self.special.items()):
             self.token[i] = t
-        self.number = list(map(str, range(self.size)))
+        #: Of each id, its decimal number and its token.
+        self.marks = pa.array(map(str, range(self.size)), pa.large_string()), pa.array(self.token, pa.large_string())
         left, right, made = [], [], []
         for m in model["merges"]:
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -182,40 +185,50 @@ class WordBpe:
         ids = symbol[kept]
         return np.split(ids, np.searchsorted(kept, ends[:-1]))
 
+    def _forget(self) -> None:
+        self.known, self.ids, self.written = _Units(self.normal, self.special), [], ([], [], [])
+
     def units(self, text: str) -> list[str]:
-        """Normalised runs without white space; a special token is a run of its own."""
+        """Runs without white space, as they stand; a special token is a run of its own, and no other run is equal to one."""
         def plain(t: str) -> list[str]:
-            if not t.isascii():
-                if self.unknown.search(t):
-                    return [u for u in self.normalizer.normalize_str(t).split(" ") if u]
-                t = unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3")  # lower case is by character: no final sigma
-            t = t.lower()
-            return [u for u in _GAP.split(t) if u] if _ODD.search(t) else t.split()
+            return [u for u in _GAP.split(t) if u] if any(c in t for c in _ODD) else t.split()
 
         if not self.special_at or "<|" not in text and not self.special_at.search(text):
             return plain(text)
         return [u for k, part in enumerate(self.special_at.split(text)) for u in ([part] if k % 2 else plain(part))]
 
+    def normal(self, unit: str) -> str:
+        """What a run without white space is normalised to: no white space composes with what follows it, so this is its part of the normalised text."""
+        if unit.isascii():
+            return unit.lower()
+        if self.unknown.search(unit):
+            return self.normalizer.normalize_str(unit)
+        return unicodedata.normalize("NFC", unit).replace("\u03a3", "\u03c3").lower()  # lower case is by character: no final sigma
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
         """Each text as numbers of units, and the ids of every unit; only units not seen lately are encoded."""
         if len(self.known) > CACHED_WORDS:
-            self.known, self.ids, self.written = _Numbers(), [], []
+            self._forget()
         docs = [list(map(self.known.__getitem__, self.units(t))) for t in texts]
         words, rule = _Numbers(), self.rule
         made = []
-        for u in islice(self.known, len(self.ids), None):
-            made.append(self.special[u] if u in self.special else [words[w.encode()] for w in (_ASCII_WORD if u.isascii() else rule).findall(u)])
+        for u in islice(self.known.forms, len(self.ids), None):
+            made.append(u if isinstance(u, int) else [words[w.encode()] for w in (_ASCII_WORD if u.isascii() else rule).findall(u)])
         ids = self.encode_words(list(words))
         none = np.zeros(0, np.int64)
         for m in made:
             self.ids.append(np.array([m]) if isinstance(m, int) else ids[m[0]] if len(m) == 1 else np.concatenate([ids[w] for w in m]) if m else none)
         return docs, self.ids
 
-    def strings(self) -> list[tuple[int, str, str]]:
-        """How many ids each known unit has, the ids, and the unit decoded, as they stand in a text's."""
-        for x in islice(self.ids, len(self.written), None):
-            some = x.tolist()
-            self.written.append((len(some), " ".join(map(self.number.__getitem__, some)), " ".join(map(self.token.__getitem__, some))))
+    def strings(self) -> tuple[list[int], list[str], list[str]]:
+        """Of each known unit how many ids it has, the ids, and the unit decoded, as they stand in a text's."""
+        new = self.ids[len(self.written[0]) :]
+        if new:
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            ids, ends = np.concatenate(new), np.concatenate([[0], np.cumsum(size)])
+            self.written[0].extend(size.tolist())
+            for to, marks in zip(self.written[1:], self.marks, strict=True):
+                to.extend(pc.binary_join(pa.LargeListArray.from_arrays(ends, marks.take(pa.array(ids))), pa.scalar(" ", marks.type)).to_numpy(zero_copy_only=False).tolist())
         return self.written
 
     def encode_ids(self, text: str) -> list[int]:
@@ -235,6 +248,18 @@ class _Numbers(dict):
         return n
 
 
+class _Units(dict):
+    """Numbers of runs by what they are normalised to: each run is normalised once.  ``forms`` has the normal forms in the order of their numbers, and ids for special tokens."""
+
+    def __init__(self, normal: Callable[[str], str], special: dict[str, int]):
+        super().__init__()
+        self.normal, self.special, self.forms = normal, special, _Numbers()
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = self.forms[self.special[unit] if unit in self.special else self.normal(unit)]
+        return n
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, patterns: tuple[str, str] | None = None) -> WordBpe:
     return WordBpe(path, patterns)
@@ -288,8 +313,8 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches):
         e = encoder(path, patterns)
         for b in pieces(filled(batches, INDEX_BYTES), limit=INDEX_BYTES, keep=encoder):
-            units, ids = e.encode([t or "" for t in column(b, "text").to_pylist()])
-            n, number, string = zip(*e.strings(), strict=True) if ids else ((), (), ())
+            units, _ = e.encode([t or "" for t in column(b, "text").to_pylist()])
+            n, number, string = e.strings()
             if 0 in n:
                 units = [[u for u in x if n[u]] for x in units]
             sha = lambda part, x: hashlib.sha256(" ".join(map(part.__getitem__, x)).encode()).hexdigest()

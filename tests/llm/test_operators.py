@@ -828,6 +828,27 @@ def test_word_bpe_of_every_code_point():
         assert [np.concatenate([ids[u] for u in d]).tolist() for d in docs] == want[i : i + 40], i
 
 
+def test_word_bpe_takes_special_tokens_as_they_stand():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, tokenizer = bpe.WordBpe(path), Tokenizer.from_file(path)
+    for t in ("<|ENDOFTEXT|>", "a<|EndOfText|>B <|endoftext|> <|STARTOFTEXT|>", "<|endoftext|>\u0301 x", "A<|startoftext|>a"):
+        assert own.encode_ids(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_word_bpe_normalises_each_run_once(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, tokenizer = bpe.WordBpe(path), Tokenizer.from_file(path)
+    seen, normal = [], own.normal
+    monkeypatch.setattr(own, "normal", lambda u: seen.append(u) or normal(u))
+    own._forget()
+    given = ["\u00c9t\u00e9 THE the \u03a3\u03a3 e\u0301t\u00e9", "the\u2000\u0308 THE\x1cthe \u00c9t\u00e9"] * 50
+    docs, ids = own.encode(given)
+    assert [np.concatenate([ids[u] for u in d]).tolist() for d in docs] == [tokenizer.encode(t, add_special_tokens=False).ids for t in given]
+    assert sorted(seen) == sorted({u for t in given for u in own.units(t)}) and len(ids) < len(seen)
+    n, number, string = own.strings()
+    assert [(n[u], number[u], string[u]) for u in range(len(ids))] == [(len(x), " ".join(map(str, x.tolist())), own.decode(x)) for x in ids]
+
+
 def test_slices_are_filled_from_many_batches():
     batches = [pa.RecordBatch.from_arrays([pa.array(["x" * 10, None, "yy"])], ["text"])] * 7
     got = [b.num_rows for b in filled(iter(batches), 30)]
