@@ -164,6 +164,7 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
 
     # Rows of one doc_id with several texts: one of them, always the same, stands for all.
     sets = written(d.mapInArrow(build, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
+    pairs = _likely(pairs, sets, similarity)
     first, second = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)).hint("merge") for k, v in (("a", "x"), ("b", "y")))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
 
@@ -181,6 +182,46 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
     return both.mapInArrow(check, "a long, b long")
 
 
+def wide_sketch(h: np.ndarray) -> bytes:
+    """The sketch of a set of shingles as in :func:`described`, but of as many bits as the set asks for."""
+    bits = max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(SKETCH * len(h), 1)))))
+    odd = np.zeros(bits, np.uint8)
+    np.bitwise_xor.at(odd, (mix(h) & U64(bits - 1)).astype(np.int64), np.uint8(1))
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs but those that wide sketches rule out.
+
+    A sketch of ``MOST_BITS`` says nothing of sets of many more shingles, so all long documents that share a print are pairs, and each would bring both sets with it.
+    A wide sketch has a sixteenth to an eighth of a set's bytes.  Only pairs of two such sets are looked at, and no pair that is similar enough is lost.
+    """
+    large = sets.where(F.octet_length("shingles") > 8 * (MOST_BITS // SKETCH))
+    if large.isEmpty():
+        return pairs
+
+    def sketched(batches):
+        for b in batches:
+            rows = [np.frombuffer(x, U64) for x in column(b, "shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([len(h) for h in rows], pa.int64()), pa.array([wide_sketch(h) for h in rows], pa.binary())], ["doc_id", "n", "sketch"])
+
+    wide = written(large.mapInArrow(sketched, "doc_id long, n long, sketch binary"), "wide")
+    first, second = (wide.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in ("a", "b"))
+    # Sizes alone say of many pairs that they can't do: these go before any sketch is joined.
+    sized = pairs.join(first.select("a", "n_a").hint("merge"), "a").join(second.select("b", "n_b").hint("merge"), "b")
+    unlike = F.least("n_a", "n_b") < similarity * F.greatest("n_a", "n_b") - 1e-9
+    both = sized.where(~unlike).join(first.select("a", "s_a").hint("merge"), "a").join(second.select("b", "s_b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def check(batches):
+        for b in batches:
+            x, y, n, m = (column(b, c).to_pylist() for c in ("s_a", "s_b", "n_a", "n_b"))
+            out = [not may_link(*r, similarity) for r in zip(x, y, n, m, strict=True)]
+            yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b")], ["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+    out = written(both.mapInArrow(check, "a long, b long").union(sized.where(unlike).select("a", "b")), "unlike")
+    return written(pairs.join(out.hint("merge"), ["a", "b"], "left_anti"), "likely")
+
+
 def _several(batches):
     """Rows, in order of p, of prints with several holders; of a print that goes on in the next batch only the last row waits."""
     held, company = None, False

@@ -800,6 +800,26 @@ def test_damaged_media(spark):
     assert r[0].media_bytes == len(good) - 1 and r[0].payload_sha256 is None and r[1].media_bytes is None
 
 
+def test_pairs_of_long_texts_are_ruled_out_before_their_sets_are_joined(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(1 << 40):x}"
+    long = [[word() for _ in range(nearsets.MOST_BITS // 2)] for _ in range(4)]  # too many shingles for a common sketch
+    near = [word() if i % 400 == 0 else w for i, w in enumerate(long[0])]
+    given = [(i, " ".join(x)) for i, x in enumerate([*long, near, long[0][: nearsets.MOST_BITS // 3]])]
+    frame = written(spark.createDataFrame(given, "doc_id long, text string"), "docs")
+    pairs = written(spark.createDataFrame([(a, b) for a in range(6) for b in range(a + 1, 6)], "a long, b long"), "pairs")
+    kept, likely = [], nearsets._likely
+
+    def noted(*args):
+        got = likely(*args)
+        kept.append(sorted(tuple(x) for x in got.collect()))
+        return got
+
+    monkeypatch.setattr(nearsets, "_likely", noted)
+    assert [tuple(x) for x in nearsets.similar(pairs, frame, 5, 0.8).collect()] == [(0, 4)]
+    assert kept == [[(0, 4)]]
+
+
 # BPE
 
 
